@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines
+from . import bpe, lines, quality
 from .common import table
 
 
@@ -34,8 +34,14 @@ FROM m GROUP BY r
 """
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    rounded = [F.round(c, 6).alias(c) for c in ("poor", "toxic", "host_poor", "path_poor", "host_toxic", "path_toxic", "p_poor", "p_toxic")]
+    return out.select("doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), *rounded, "keep")
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
