@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, lines, quality
+from . import bpe, decontaminate, lines, quality
 from .common import table
 
 
@@ -34,6 +34,11 @@ FROM m GROUP BY r
 """
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs_share", 4).alias("lcs_share"), "start_word")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     rounded = [F.round(c, 6).alias(c) for c in ("poor", "toxic", "host_poor", "path_poor", "host_toxic", "path_toxic", "p_poor", "p_toxic")]
@@ -41,7 +46,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
