@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, lines, quality
+from . import bpe, decontaminate, jaccard, lines, quality
 from .common import table
 
 
@@ -34,6 +34,10 @@ FROM m GROUP BY r
 """
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs_share", 4).alias("lcs_share"), "start_word")
@@ -46,7 +50,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality}
 
 
 def oracle_sql() -> dict[str, str]:
