@@ -49,8 +49,14 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("host").alias("source"), F.col("path").alias("lang"), *rounded, "keep")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
