@@ -42,10 +42,17 @@ EDGES = {  # shape: thresholds of the indicators
 
 
 class _Ids(dict):
-    """word -> number, in order of meeting."""
+    """word -> number, in order of meeting; hit[number] is the word's feature or -1."""
+
+    def __init__(self, feature):
+        self.feature, self.hit = feature, np.empty(1 << 12, np.int64)
 
     def __missing__(self, word):
-        self[word] = n = len(self)
+        n = len(self)
+        if n == len(self.hit):
+            self.hit = np.concatenate([self.hit, np.empty(n, np.int64)])
+        self.hit[n] = self.feature(word)
+        self[word] = n
         return n
 
 
@@ -56,24 +63,19 @@ class Features:
         self.vocabulary = {w: i for i, w in enumerate(vocabulary)}
         self.names = [f"{k}>{e}" for k, v in EDGES.items() for e in v]
         self.size = len(self.names) + len(vocabulary)
-        self.ids, self.hit = _Ids(), np.empty(0, np.int64)
+        self.ids = _Ids(self._feature)
 
-    def _hits(self) -> np.ndarray:
-        if len(self.hit) < len(self.ids):
-            new = list(self.ids)[len(self.hit) :]
-            get, base = self.vocabulary.get, len(self.names)
-            found = (get(w.decode("utf-8", "ignore").strip(STRIP).lower(), -1 - base) + base for w in new)
-            self.hit = np.concatenate([self.hit, np.fromiter(found, np.int64, len(new))])
-        return self.hit
+    def _feature(self, word: bytes) -> int:
+        at = self.vocabulary.get(word.decode("utf-8", "ignore").strip(STRIP).lower(), -1)
+        return at + len(self.names) if at >= 0 else -1
 
     def of(self, text: str) -> np.ndarray:
         raw = text.encode()
         words = raw.split()
         if len(self.ids) > CACHE_WORDS:
-            self.ids, self.hit = _Ids(), np.empty(0, np.int64)
+            self.ids = _Ids(self._feature)
         n = len(words)
         ids = np.fromiter(map(self.ids.__getitem__, words), np.int64, n)
-        hits = self._hits()
         byte = np.bincount(np.frombuffer(raw, np.uint8), minlength=256)
         size = max(1, len(raw))
         uniq, counts = np.unique(ids, return_counts=True)
@@ -92,7 +94,7 @@ class Features:
         for k, edges in EDGES.items():
             out += [at + i for i, e in enumerate(edges) if shape[k] > e]
             at += len(edges)
-        got = hits[uniq]
+        got = self.ids.hit[uniq]
         return np.concatenate([np.array(out, np.int64), np.unique(got[got >= 0])])
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, lines, quality
+from . import bpe, decontaminate, jaccard, lines, neighbours, quality, secrets
 from .common import table
 
 
@@ -38,6 +38,42 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "class_id")
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repo = F.concat_ws("/", "source", "lang")
+    return secrets.digest(secrets.find(table(spark, sf_dir, "documents"), repo=repo, owner=F.col("source")))
+
+
+OP6_SQL = r"""
+WITH kinds(ord, kind, pat, least) AS (VALUES
+ (0, 'assign', '(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)', 6),
+ (1, 'access', 'AKIA[A-Z0-9]+', 20), (2, 'hex', '[0-9a-f]+', 24), (3, 'owned', '[A-Za-z0-9+/_=-]{24,}', 24)),
+d AS (SELECT row_number() OVER () AS r, doc_id, source AS owner, concat_ws('/', source, lang) AS repo,
+      replace(coalesce(text, ''), chr(1), chr(2)) AS t FROM documents),
+p AS (SELECT r, owner, repo, ord, kind, pat, least,
+      string_split(regexp_replace(t, pat, chr(1) || '\0' || chr(1), 'g'), chr(1)) AS ps FROM d, kinds WHERE regexp_matches(t, pat)),
+x AS (SELECT r, owner, repo, ord, kind, pat, least, unnest(ps) AS m, generate_subscripts(ps, 1) AS i FROM p),
+c AS (SELECT *, sum(length(m)) OVER (PARTITION BY r, ord ORDER BY i) AS e,
+      CASE WHEN ord = 0 THEN regexp_extract(m, pat, 2) ELSE m END AS v FROM x),
+f AS (SELECT r, owner, repo, ord, kind, v, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM c WHERE i % 2 = 0 AND length(v) >= least
+      AND (ord < 3 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')))),
+o AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS n FROM f GROUP BY v),
+g AS (SELECT f.*, o.n FROM f JOIN o USING (v)),
+k AS (SELECT * FROM g WHERE ord < 3 OR (n = 1 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.r = g.r AND b.ord < 3 AND b.s < g.e AND g.s < b.e))),
+a AS (SELECT r, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base,
+      string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans,
+      count(*) FILTER (WHERE n = 1) AS n_live, count(*) FILTER (WHERE n >= 3) AS n_copied FROM k GROUP BY r)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+FROM d LEFT JOIN a USING (r)
+"""
+
+
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs_share", 4).alias("lcs_share"), "start_word")
@@ -56,8 +92,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op6_secrets": OP6_SQL}
