@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, jaccard, lines, neighbours, quality, secrets
+from . import bpe, chats, decontaminate, jaccard, lines, neighbours, quality, secrets, warc
 from .common import table
 
 
@@ -74,6 +74,68 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.search(vectors, vectors.where(F.col("vec_id") % 100 == 0))
 
 
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = warc.derive(warc.responses(table(spark, sf_dir, "pages")))
+    record = F.sha2(warc.record_bytes(), 256).alias("record_sha256")
+    return out.select(F.col("key").alias("page_id"), "warc_type", "record_id", "refers_to", "uri", "content_length", "block_digest", "payload_digest", record)
+
+
+def _uuid_sql(h: str) -> str:
+    return "'<urn:uuid:' || " + " || '-' || ".join(f"substr({h}, {a}, {n})" for a, n in ((1, 8), (9, 4), (13, 4), (17, 4), (21, 12))) + " || '>'"
+
+
+def _op5_sql() -> str:
+    named = "t3"
+    for name, to in warc.NAMED:
+        named = f"replace({named}, '{name}', '{to.replace(chr(39), chr(39) * 2)}')"
+    head = " || ".join(
+        f"'{name}: ' || {col} || nl" for name, col in (
+            ("WARC-Type", "warc_type"), ("WARC-Record-ID", "record_id"), ("WARC-Refers-To", "refers_to"), ("WARC-Refers-To-Target-URI", "uri"),
+            ("WARC-Refers-To-Date", f"'{warc.DATE}'"), ("WARC-Target-URI", "uri"), ("WARC-Date", f"'{warc.DATE}'"), ("WARC-Block-Digest", "block_digest"),
+            ("WARC-Source-Payload-Digest", "payload_digest"), ("Content-Type", "content_type"), ("Content-Length", "content_length"))
+    )
+    return f"""
+WITH p AS (SELECT page_id, coalesce(url, '') AS uri, coalesce(html, '') AS h, chr(13) || chr(10) AS nl FROM pages),
+q AS (SELECT *, {_uuid_sql("md5('response' || chr(10) || uri || chr(10) || sha256(h))")} AS refers_to, 'sha256:' || sha256(h) AS payload_digest,
+  regexp_replace(h, '(?is)<!--.*?-->|<(script|style|head)\\b[^>]*>.*?</(script|style|head)\\s*>', ' ', 'g') AS t1 FROM p),
+r AS (SELECT *, regexp_replace(t1, '[ \\t\\r\\n\\f\\x0B]+', ' ', 'g') AS t2 FROM q),
+s AS (SELECT *, regexp_replace(regexp_replace(t2, '(?i)<(/?(p|div|li|ul|ol|h[1-6]|tr|table|article|section|header|footer|nav|aside|form|blockquote|pre|body)|br)\\b[^>]*>', chr(10), 'g'),
+  '<[A-Za-z/!?][^>]*>', '', 'g') AS t3 FROM r),
+u AS (SELECT *, trim(regexp_replace(regexp_replace(regexp_replace({named}, ' *\\n *', chr(10), 'g'), ' +', ' ', 'g'), '\\n+', chr(10), 'g'), ' ' || chr(10)) AS txt FROM s),
+v AS (SELECT page_id, uri, nl, refers_to, payload_digest, 'metadata' AS warc_type, 'application/warc-fields' AS content_type,
+  'title: ' || regexp_replace(regexp_extract(h, '(?is)<title[^>]*>(.*?)</title', 1), '[ \\t\\r\\n]+', ' ', 'g') || nl ||
+  'language: ' || regexp_extract(h, '(?i)<html[^>]*\\blang=["'']?([A-Za-z-]+)', 1) || nl ||
+  'outlinks: ' || len(regexp_extract_all(h, '(?i)<a\\s[^>]*href=')) || nl || 'source-content-type: text/html' || nl ||
+  'source-length: ' || strlen(h) || nl AS block FROM u
+  UNION ALL SELECT page_id, uri, nl, refers_to, payload_digest, 'conversion', 'text/plain; charset=utf-8', txt FROM u),
+w AS (SELECT *, 'sha256:' || sha256(block) AS block_digest, CAST(strlen(block) AS BIGINT) AS content_length FROM v),
+x AS (SELECT *, {_uuid_sql("md5(warc_type || chr(10) || refers_to || chr(10) || block_digest)")} AS record_id FROM w)
+SELECT page_id, warc_type, record_id, refers_to, uri, content_length, block_digest, payload_digest,
+  sha256('WARC/1.1' || nl || {head} || nl || block || nl || nl) AS record_sha256 FROM x
+""".replace("\\\\", "\\")
+
+
+def op8_chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = chats.collapse(table(spark, sf_dir, "conversations"))
+    return out.select("conv_id", "n_turns", F.length("chat").cast("long").alias("n_chars"), F.sha2("chat", 256).alias("chat_sha256"))
+
+
+OP8_SQL = """
+WITH t AS (SELECT DISTINCT conv_id, turn, coalesce(role, 'user') AS role, coalesce(text, '') AS text FROM conversations
+           WHERE conv_id IS NOT NULL AND turn IS NOT NULL),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS pos FROM t),
+p AS (SELECT conv_id, pos, list({'r': role, 't': text}) OVER (PARTITION BY conv_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS sofar FROM o),
+w AS (SELECT conv_id, max(pos) AS n FROM o GROUP BY conv_id),
+e AS (SELECT p.conv_id, n, sofar FROM p JOIN w ON p.conv_id = w.conv_id AND pos = n),
+k AS (SELECT min(conv_id) AS conv_id, n, sofar FROM e GROUP BY n, sofar),
+x AS (SELECT DISTINCT pos AS n, sofar FROM p JOIN w USING (conv_id) WHERE pos < w.n),
+m AS (SELECT k.conv_id FROM k LEFT JOIN x ON k.n = x.n AND k.sofar = x.sofar WHERE x.n IS NULL),
+c AS (SELECT conv_id, count(*) AS n_turns,
+      string_agg('<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10), '' ORDER BY pos) AS chat FROM o JOIN m USING (conv_id) GROUP BY conv_id)
+SELECT conv_id, n_turns, CAST(length(chat) AS BIGINT) AS n_chars, sha256(chat) AS chat_sha256 FROM c
+"""
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate.find(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "item_id", F.round("cosine", 4).alias("cosine"), F.round("lcs_share", 4).alias("lcs_share"), "start_word")
@@ -92,8 +154,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
+    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_chats": op8_chats, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_line_dedup": OP3_SQL, "op6_secrets": OP6_SQL}
+    return {"op3_line_dedup": OP3_SQL, "op5_warc": _op5_sql(), "op6_secrets": OP6_SQL, "op8_chats": OP8_SQL}
