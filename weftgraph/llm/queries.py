@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chats, decontaminate, jaccard, lines, neighbours, quality, secrets, warc
+from . import bpe, chats, decontaminate, html, jaccard, lines, neighbours, quality, secrets, warc
 from .common import table
 
 
@@ -16,6 +16,10 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary, public_tokenizers.PATTERN)
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lines.dedup_lines(table(spark, sf_dir, "documents"))
     return out.select("doc.doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
@@ -154,7 +158,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {"op1_bpe": op1_bpe, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_chats": op8_chats, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
+    return {"op1_bpe": op1_bpe, "op2_html": op2_html, "op3_line_dedup": op3_line_dedup, "op4_jaccard_join": op4_jaccard_join, "op5_warc": op5_warc, "op6_secrets": op6_secrets, "op7_neighbours": op7_neighbours, "op8_chats": op8_chats, "op9_decontamination": op9_decontamination, "op10_quality": op10_quality, "pipeline": pipeline}
 
 
 def oracle_sql() -> dict[str, str]:
