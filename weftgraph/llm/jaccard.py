@@ -43,7 +43,7 @@ from .decontaminate import PARTS, _emit, _summed
 from .quality import BROADCAST_ROWS
 
 BUCKETS = 20  # bits of the sketch
-CELL_BLOCK, LEAF, FAN = 2048, 16, 8
+CELL_BLOCK, LEAF, FAN, COARSE = 2048, 16, 8, 64
 CACHE_WORDS = 400_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -85,12 +85,13 @@ def unpack(b: bytes) -> np.ndarray:
 
 
 def groups_of(n: int) -> int:
-    return 64 if n < 600 else 256 if n < 4000 else 1024
+    return 512 if n < 1200 else 2048 if n < 5000 else 8192
 
 
 def point(s: np.ndarray, n: int) -> bytes:
+    """Counts by group, as bytes; a count beyond 255 stays 255, which keeps every bound valid."""
     g = groups_of(n)
-    return np.minimum(np.bincount(((s >> np.uint64(20)) & np.uint64(g - 1)).astype(np.int64), minlength=g), 65535).astype(np.uint16).tobytes()
+    return np.minimum(np.bincount(((s >> np.uint64(20)) & np.uint64(g - 1)).astype(np.int64), minlength=g), 255).astype(np.uint8).tobytes()
 
 
 def fold(v: np.ndarray, g: int) -> np.ndarray:
@@ -98,6 +99,15 @@ def fold(v: np.ndarray, g: int) -> np.ndarray:
     return v.reshape(-1, g).sum(0)
 
 
+def reaches(v: np.ndarray, sizes: np.ndarray, q: np.ndarray, n: int, pct: int) -> np.ndarray:
+    """Which points can reach pct per cent with q. The sum of smaller coordinates is the size less
+    the sum of the amounts by which one point exceeds the other; so written, capped counts do no harm."""
+    over = np.maximum(q - v, 0).sum(1)
+    under = np.maximum(v - q, 0).sum(1)
+    bound = np.minimum(n - over, sizes - under)
+    return (100 + pct) * bound >= pct * (n + sizes)
+
+
 class RTree:
     """Bulk-loaded R-tree over count vectors of one width; boxes keep the largest coordinates and
     the range of sizes. Loaded in the order of size, then of the heaviest coordinates."""
@@ -118,7 +128,7 @@ class RTree:
         """Places (in the given order) of points that can reach pct per cent Jaccard with q."""
 
         def can(top, low, high):
-            bound = np.minimum(top, q).sum(1)
+            bound = np.minimum(n - np.maximum(q - top, 0).sum(1), high)
             # 100 * overlap >= pct * (n + m - overlap) for some m of the box
             return ((100 + pct) * bound >= pct * (n + low)) & (100 * np.minimum(n, high) >= pct * np.maximum(n, low))
 
@@ -230,13 +240,15 @@ def cell_search(rows: DataFrame, pct: int) -> DataFrame:
     the tree of the members of their block (`held`), pairs of one component left out."""
 
     def pairs(ids, n, pts, comp, asks, held):
-        g = min(len(p) // 2 for p in pts)
-        v = np.array([fold(np.frombuffer(p, np.uint16).astype(np.int32), g) for p in pts])
+        g = min(len(p) for p in pts)
+        fine = np.array([fold(np.frombuffer(p, np.uint8).astype(np.int16), g) for p in pts])
+        v = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int32)
         own = np.flatnonzero(held)
         tree = RTree(v[own], n[own])
         for q in np.flatnonzero(asks):
             at = own[tree.search(v[q], int(n[q]), pct)]
             at = at[(comp[at] != comp[q]) & ~(asks[at] & (ids[at] >= ids[q]))]
+            at = at[reaches(fine[at], n[at], fine[q], int(n[q]), pct)] if len(at) else at
             for x in at:
                 yield (int(ids[x]), int(ids[q])) if ids[x] < ids[q] else (int(ids[q]), int(ids[x]))
 
@@ -266,6 +278,26 @@ def cell_search(rows: DataFrame, pct: int) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
+def bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
+    """The pairs whose points can reach pct per cent."""
+
+    def run(batches):
+        for b in batches:
+            out = [[], []]
+            for i, j, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))):
+                g = min(len(x), len(y))
+                x, y = (fold(np.frombuffer(p, np.uint8).astype(np.int16), g) for p in (x, y))
+                if reaches(y[None], np.array([m]), x, n, pct)[0]:
+                    out[0].append(i)
+                    out[1].append(j)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
+
+    both = pairs.join(points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("x")), "a")
+    both = both.join(points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y")), "b")
+    both = both.where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb"))
+    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def verified(pairs: DataFrame, own: DataFrame, pct: int) -> DataFrame:
     """(a, b, overlap) of the pairs whose sets reach pct per cent."""
 
@@ -301,11 +333,9 @@ def links(own: DataFrame, pct: int = 80) -> DataFrame:
     lead = cells.join(often, "id").groupBy("token").agg(F.max(F.struct("often", (-F.col("id")).alias("neg"))).alias("m"))
     lead = cut(lead.select("token", (-F.col("m.neg")).alias("leader")), "leaders")
     points = cut(_only(own.select("id", "n", "point"), often.select("id"), "left_semi"), "points")
-    # first the leaders; the bound is checked when pairs are searched, sizes here
-    sized = points.select("id", "n")
+    # first the leaders
     first = cells.join(lead, "token").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    first = first.join(sized.select(F.col("id").alias("a"), F.col("n").alias("na")), "a").join(sized.select(F.col("id").alias("b"), F.col("n").alias("nb")), "b")
-    first = cut(first.where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb")).select("a", "b"), "leader-pairs")
+    first = cut(bounded(first, points, pct), "leader-pairs")
     found = cut(verified(first, own, pct), "leader-links")
     comp = cut(components(found), "comp")
     # then the members outside their leader's component
