@@ -1 +1 @@
-""""""
+"""Generic superstep plans."""
