@@ -65,3 +65,15 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         before = now
     roots = e.select(F.col("b").alias("id")).distinct().select("id", F.col("id").alias("comp"))
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(roots).distinct()
+
+
+def slices(batches, rows: int = 512):
+    """Arrow batches in parts of few rows, so that Python holds few texts at once; memory that
+    Arrow keeps for later goes back to the system at the end."""
+    import pyarrow as pa
+
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+        del b
+        pa.default_memory_pool().release_unused()

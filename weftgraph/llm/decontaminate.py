@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 from .quality import BROADCAST_ROWS, STRIP, row_hash
 
 PASSAGE, STRIDE, RANK, EXTRA, ANSWER = 64, 16, 256, 16, 5
@@ -52,7 +52,7 @@ class _Ids(dict):
         self.vocabulary = vocabulary
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         self[word] = v = self.vocabulary.get(clean(word), OTHER)
         return v
@@ -167,7 +167,7 @@ def tokenised(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col
 
     def run(batches):
         get = _Ids(vocabulary).__getitem__
-        for b in batches:
+        for b in slices(batches):
             out = [np.fromiter(map(get, (t or "").encode().split()), np.uint16).tobytes() for t in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(out, pa.binary())], names=["id", "row", "ids"])
 

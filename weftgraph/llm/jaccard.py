@@ -38,13 +38,13 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut
+from .common import components, cut, slices
 from .decontaminate import PARTS, _emit, _summed
 from .quality import BROADCAST_ROWS
 
 BUCKETS = 20  # bits of the sketch
 CELL_BLOCK, LEAF, FAN, COARSE = 2048, 16, 8, 64
-CACHE_WORDS = 400_000
+CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -154,7 +154,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def run(batches):
         seen = _Hashes()
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], [], [], []]
             for t in b.column(1).to_pylist():
                 s = shingles(t, seen)
@@ -178,7 +178,7 @@ def frequency_classes(own: DataFrame) -> np.ndarray:
 
     def run(batches):
         counts = np.zeros((1 << BUCKETS, 1))
-        for b in batches:
+        for b in slices(batches):
             flat = [unpack(x) >> (48 - BUCKETS) for x in b.column("set").to_pylist()]
             if flat:
                 counts[:, 0] += np.bincount(np.concatenate(flat), minlength=1 << BUCKETS)
@@ -195,7 +195,7 @@ def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
 
     def run(batches):
         cls = held.value
-        for b in batches:
+        for b in slices(batches):
             tokens, ids = [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = unpack(x)
@@ -282,7 +282,7 @@ def bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
     """The pairs whose points can reach pct per cent."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], []]
             for i, j, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))):
                 g = min(len(x), len(y))
@@ -302,7 +302,7 @@ def verified(pairs: DataFrame, own: DataFrame, pct: int) -> DataFrame:
     """(a, b, overlap) of the pairs whose sets reach pct per cent."""
 
     def run(batches):
-        for b in batches:
+        for b in slices(batches):
             out = [[], [], []]
             for i, j, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "x", "y"))):
                 x, y = unpack(x), unpack(y)

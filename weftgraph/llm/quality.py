@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, slices
 
 SAMPLE_ROWS, WORDS, THRESHOLD = 8000, 1000, 0.5
 BROADCAST_ROWS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 EDGES = {  # shape: thresholds of the indicators
     "repeat": (0.03, 0.06, 0.15, 0.4), "top": (0.15, 0.25, 0.4), "symbols": (0.03, 0.06, 0.1, 0.2),
@@ -160,7 +160,7 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host_col:
     def run(batches):
         f = Features(model["vocabulary"])
         both = [model["poor"], model["toxic"]]
-        for b in batches:
+        for b in slices(batches):
             out = [[], []]
             for t in b.column(4).to_pylist():
                 x = f.of(t or "")
