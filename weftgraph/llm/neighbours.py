@@ -109,6 +109,7 @@ def scan_block(q: np.ndarray, cols: np.ndarray, threshold: float, eps: float = E
     """Places in a block (dim x n, rotated) that no test rejects against squared distance `threshold`."""
     dim, n = cols.shape
     at, part = np.arange(n), np.zeros(n)
+    threshold += 1e-9 * max(1.0, float(q @ q))  # rotation rounds: equal vectors stay
     for d in range(0, dim, GROUP):
         diff = cols[d : d + GROUP][:, at] - q[d : d + GROUP, None] if len(at) < n else cols[d : d + GROUP] - q[d : d + GROUP, None]
         part = part + np.einsum("ij,ij->j", diff, diff)
@@ -118,7 +119,7 @@ def scan_block(q: np.ndarray, cols: np.ndarray, threshold: float, eps: float = E
             at, part = at[ok], part[ok]
         if not len(at):
             break
-    return at[part <= threshold * (1 + 1e-9) + 1e-12] if threshold < math.inf else at
+    return at[part <= threshold] if threshold < math.inf else at
 
 
 def _exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
