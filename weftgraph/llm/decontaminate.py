@@ -4,7 +4,8 @@ Items are taken in blocks of at most `block` (256), each searched in a latent sp
 1. Words (split at ASCII white space, outer ASCII marks stripped, lower case) become ids of the
    block's vocabulary, all other words one id; the id rows are written once and read by each pass.
 2. Document frequencies over all documents give the weights: log(share * N / df), at least 0,
-   so words of more than `share` of the documents weigh nothing.
+   so words of more than `share` of the documents weigh nothing in the corpus passes and, in the
+   search, a tenth of their usual log(N / df).
 3. A distributed randomised SVD of the TF-IDF passages: the rows of A are all PASSAGE-word
    passages of the corpus and, weighted to the same energy, the items. One pass sums A'(A W)
    for a seeded Gaussian W, one pass (A Q)'(A Q); the driver sees only vocabulary x rank arrays
@@ -21,9 +22,8 @@ Items are taken in blocks of at most `block` (256), each searched in a latent sp
 Whole texts, all documents and all items take part; a benchmark larger than one block costs one
 round of passes for each block. A passage that a third of the documents share meets no shuffle.
 
-Cases: null or empty texts and items hold no words and are never contaminated; an item whose
-words are each in more than `share` of the documents has them weigh a little, and all words weigh
-1 in a corpus of fewer than 20 documents. Repeated rows and null ids give a row each.
+Cases: null or empty texts and items hold no words and are never contaminated; all words weigh 1
+in a corpus of fewer than 20 documents. Repeated rows and null ids give a row each.
 Documents are told apart by a hash of the whole row; only the named columns are read, so names
 cannot clash. Empty tables give an empty result.
 """
@@ -175,8 +175,9 @@ def tokenised(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col
     return picked.mapInArrow(run, f"id {kind}, row long, ids binary")
 
 
-def weights(coded: DataFrame, size: int, share: float) -> np.ndarray:
-    """Weight of every word id from its document frequency; last: that of a word no item has."""
+def weights(coded: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of every word id from its document frequency, without and with the common words; last:
+    that of a word no item has."""
 
     def count(batches):
         df = np.zeros((size + 1, 1))
@@ -189,12 +190,15 @@ def weights(coded: DataFrame, size: int, share: float) -> np.ndarray:
 
     df = _summed(coded.mapInArrow(count, PARTS), size + 1, 1)[:, 0]
     n = df[size]
-    out = np.maximum(0.0, np.log(np.maximum(share * (n + 1), 1.0) / (df + 1))) if n >= 20 else np.ones(size + 1)
-    out[size] = out[:size].max(initial=1.0)
-    return out
+    if n < 20:
+        return np.ones(size + 1), np.ones(size + 1)
+    rare = np.maximum(0.0, np.log(np.maximum(share * (n + 1), 1.0) / (df + 1)))
+    full = np.maximum(rare, 0.1 * np.log((n + 1) / (df + 1)) + 0.01)
+    rare[size], full[size] = rare[:size].max(initial=1.0), full[:size].max(initial=1.0)
+    return rare, full
 
 
-def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, rank: int = RANK, seed: int = 1) -> np.ndarray:
+def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, full: np.ndarray, rank: int = RANK, seed: int = 1) -> np.ndarray:
     """size x rank right singular vectors of the TF-IDF passages of corpus and items."""
     size = len(w) - 1
     width = min(size, rank + EXTRA)
@@ -218,7 +222,7 @@ def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, rank:
 
     a = np.zeros((len(items), size))
     for i, x in enumerate(items):
-        np.add.at(a[i], x, w[x])
+        np.add.at(a[i], x, full[x])
     wide = np.random.default_rng(seed).standard_normal((size, width))
     y = _summed(coded.mapInArrow(run(wide, False), PARTS), size, width)
     own = a.T @ (a @ wide)
@@ -319,12 +323,9 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
         for _, text in items:
             words.append(np.array([vocabulary.setdefault(clean(x), len(vocabulary)) for x in text.encode().split() if clean(x)], np.int64))
         coded = cut(tokenised(docs, vocabulary, id_col, text_col), "word-ids")
-        w = weights(coded, len(vocabulary), share)
-        for x in words:  # an item of common words only
-            if not w[x].any():
-                w[x] = 0.1
-        v = latent_space(coded, words, w)
-        return search(coded, items, words, w, v, rule)
+        rare, full = weights(coded, len(vocabulary), share)
+        v = latent_space(coded, words, rare, full)
+        return search(coded, items, words, full, v, rule)
 
     n_words = 0
     for r in benchmark.select(item_col, item_text).where(F.length(F.trim(item_text)) > 0).orderBy(item_col, item_text).toLocalIterator():
