@@ -312,7 +312,7 @@ def items_type(items) -> str:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-         held: float = 0.5, close: float = 0.6, sure: float = 0.8, answer_share: float = 0.6, share: float = 0.05, block: int = RANK) -> DataFrame:
+         held: float = 0.5, close: float = 0.6, sure: float = 0.8, answer_share: float = 0.6, share: float = 0.03, block: int = RANK) -> DataFrame:
     """(id, row, item_id, cosine, lcs_share, start_word): each document and item of it, at its best window."""
     rule = {"held": held, "sure": sure, "close": close, "answer_share": answer_share}
     out, batch = None, []
@@ -324,7 +324,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
             words.append(np.array([vocabulary.setdefault(clean(x), len(vocabulary)) for x in text.encode().split() if clean(x)], np.int64))
         coded = cut(tokenised(docs, vocabulary, id_col, text_col), "word-ids")
         rare, full = weights(coded, len(vocabulary), share)
-        v = latent_space(coded, words, rare, full)
+        v = latent_space(coded, words, rare, full, min(RANK, len(words) + EXTRA))
         return search(coded, items, words, full, v, rule)
 
     n_words = 0
