@@ -29,7 +29,9 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-CACHE_PIECES = 400_000
+from .common import slices, small_batches
+
+CACHE_PIECES = 150_000
 CHUNK_CHARS = 2_000_000
 NONE = np.int32(2**31 - 1)
 
@@ -256,12 +258,13 @@ def _chunks(texts: list[str]):
 
 def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, ids array<int>): the ids of every text by the ranks of a .tiktoken file."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))  # fixed size: the vocabulary
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
         coder = _coder(held.value, pattern)
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             ids = [x for part in _chunks(texts) for x in coder.encode_batch(part)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
@@ -288,13 +291,14 @@ def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: s
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, ids_sha256, decoded_sha256): encode and decode in one pass, so that the ids
     of the corpus never leave the worker."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(load_ranks(vocabulary))
     kind = docs.schema[id_col].dataType.simpleString()
     names = ["id", "n_tokens", "ids_sha256", "decoded_sha256"]
 
     def run(batches):
         coder, sha = _coder(held.value, pattern), hashlib.sha256
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(1).to_pylist()]
             count, ids_hex, text_hex = [], [], []
             for part in _chunks(texts):

@@ -67,6 +67,14 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     return e.select(F.col("a").alias("id"), F.col("b").alias("comp")).union(roots).distinct()
 
 
+def small_batches(spark: SparkSession, rows: int = 2000) -> None:
+    """Texts go to Python `rows` at a time where the session has Spark's default of 10,000, so that
+    the buffers on both sides stay small; another setting is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(rows))
+
+
 def slices(batches, rows: int = 512):
     """Arrow batches in parts of few rows, so that Python holds few texts at once; memory that
     Arrow keeps for later goes back to the system at the end."""

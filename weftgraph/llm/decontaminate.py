@@ -35,7 +35,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 from .quality import BROADCAST_ROWS, STRIP, row_hash
 
 PASSAGE, STRIDE, RANK, EXTRA, ANSWER = 64, 16, 256, 16, 5
@@ -314,6 +314,7 @@ def items_type(items) -> str:
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
          held: float = 0.5, close: float = 0.6, sure: float = 0.8, answer_share: float = 0.6, share: float = 0.03, block: int = RANK) -> DataFrame:
     """(id, row, item_id, cosine, lcs_share, start_word): each document and item of it, at its best window."""
+    small_batches(docs.sparkSession)
     rule = {"held": held, "sure": sure, "close": close, "answer_share": answer_share}
     out, batch = None, []
 

@@ -28,6 +28,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import slices, small_batches
+
 PATHS, WORDS, SHAPE, INNER, HIDDEN = 256, 64, 10, 24, 16
 TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|object|head|textarea|select)\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</\1\s*>|\Z)"
@@ -233,13 +235,14 @@ _labeller: list[Labeller] = []
 
 def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", keep: tuple[str, ...] = ("url",)) -> DataFrame:
     """(id, kept columns, text, n_chars, n_blocks, n_main) of every page."""
+    small_batches(pages.sparkSession)
     kinds = {c: pages.schema[c].dataType.simpleString() for c in (id_col, *keep)}
 
     def run(batches):
         if not _labeller:
             _labeller.append(Labeller.load())
         model = _labeller[0]
-        for b in batches:
+        for b in slices(batches):
             leaves = [blocks(h) for h in b.column(b.num_columns - 1).to_pylist()]
             scores = model.scores(leaves)
             texts = ["\n\n".join(t for (_, t, _), p in zip(ls, ps) if p >= 0.5) for ls, ps in zip(leaves, scores)]

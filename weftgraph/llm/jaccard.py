@@ -38,7 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices
+from .common import components, cut, slices, small_batches
 from .decontaminate import PARTS, _emit, _summed
 from .quality import BROADCAST_ROWS
 
@@ -354,6 +354,7 @@ def links(own: DataFrame, pct: int = 80) -> DataFrame:
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80) -> DataFrame:
     """(id, n_shingles, class_id, component_id) of every row."""
+    small_batches(docs.sparkSession)
     sets = cut(described(docs, id_col, text_col), "sets")
     narrow = sets.select("id", "n", "d0", "d1")
     full = narrow.where("id is not null and n > 0")

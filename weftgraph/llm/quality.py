@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices
+from .common import cut, slices, small_batches
 
 SAMPLE_ROWS, WORDS, THRESHOLD = 8000, 1000, 0.5
 BROADCAST_ROWS = 2_000_000
@@ -215,6 +215,7 @@ def _logit(c):
 
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", threshold: float = THRESHOLD, model: dict | None = None) -> DataFrame:
     """(id, row, poor, toxic, host_*, path_*, p_poor, p_toxic, keep) of every row."""
+    small_batches(docs.sparkSession)
     model = model or fit(docs, labels, id_col, text_col)
     ev = cut(evidence(docs, model, id_col, text_col, host_col, path_col), "evidence")
     site = sites(ev).withColumnsRenamed({"host": "h", "path": "p"})
