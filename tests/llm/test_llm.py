@@ -184,7 +184,7 @@ def test_tree_bound_loses_nothing():
         k = r.integers(0, 90)
         s[:k] = r.integers(0, 2**63, k).astype(np.uint64)
         sets.append(np.unique(s[: r.integers(250, 400)]))
-    pts = np.array([np.frombuffer(jaccard.point(s, len(s)), np.uint8).astype(np.int32) for s in sets])
+    pts = np.array([jaccard.counts(jaccard.point(s, len(s))).astype(np.int32) for s in sets])
     n = np.array([len(s) for s in sets])
     coarse = pts.reshape(len(pts), -1, jaccard.COARSE).sum(1)
     tree = jaccard.RTree(coarse, n)

@@ -42,7 +42,7 @@ from .common import components, cut, slices, small_batches
 from .decontaminate import PARTS, _emit, _summed
 from .quality import BROADCAST_ROWS
 
-BUCKETS = 20  # bits of the sketch
+BUCKETS = 21  # bits of the sketch
 CELL_BLOCK, LEAF, FAN, COARSE = 2048, 16, 8, 64
 CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -89,14 +89,22 @@ def groups_of(n: int) -> int:
 
 
 def point(s: np.ndarray, n: int) -> bytes:
-    """Counts by group, as bytes; a count beyond 255 stays 255, which keeps every bound valid."""
+    """Counts by group, two to a byte; a count beyond 15 stays 15, which keeps every bound valid."""
     g = groups_of(n)
-    return np.minimum(np.bincount(((s >> np.uint64(20)) & np.uint64(g - 1)).astype(np.int64), minlength=g), 255).astype(np.uint8).tobytes()
+    c = np.minimum(np.bincount(((s >> np.uint64(20)) & np.uint64(g - 1)).astype(np.int64), minlength=g), 15).astype(np.uint8)
+    return (c[::2] | c[1::2] << 4).tobytes()
+
+
+def counts(p: bytes) -> np.ndarray:
+    b = np.frombuffer(p, np.uint8)
+    out = np.empty(2 * len(b), np.int16)
+    out[::2], out[1::2] = b & 15, b >> 4
+    return out
 
 
 def fold(v: np.ndarray, g: int) -> np.ndarray:
     """Counts by fewer groups; the groups of a coarser point are sums of those of a finer one."""
-    return v.reshape(-1, g).sum(0)
+    return v.reshape(-1, g).sum(0, dtype=np.int16)
 
 
 def reaches(v: np.ndarray, sizes: np.ndarray, q: np.ndarray, n: int, pct: int) -> np.ndarray:
@@ -177,21 +185,21 @@ def frequency_classes(own: DataFrame) -> np.ndarray:
     """Class of each bucket of the sketch: 0, or its count where that stands out."""
 
     def run(batches):
-        counts = np.zeros((1 << BUCKETS, 1))
+        total = np.zeros((1 << BUCKETS, 1))
         for b in slices(batches):
             flat = [unpack(x) >> (48 - BUCKETS) for x in b.column("set").to_pylist()]
             if flat:
-                counts[:, 0] += np.bincount(np.concatenate(flat), minlength=1 << BUCKETS)
-        yield _emit(counts)
+                total[:, 0] += np.bincount(np.concatenate(flat), minlength=1 << BUCKETS)
+        yield _emit(total)
 
-    counts = _summed(own.select("set").mapInArrow(run, PARTS), 1 << BUCKETS, 1)[:, 0]
-    mean = counts.mean()
-    return np.where(counts > mean + 6 * math.sqrt(mean) + 8, np.minimum(counts, 2**31 - 1), 0).astype(np.int32)
+    total = _summed(own.select("set").mapInArrow(run, PARTS), 1 << BUCKETS, 1)[:, 0]
+    mean = total.mean()
+    return np.where(total > mean + 6 * math.sqrt(mean) + 8, np.minimum(total, 2**31 - 1), 0).astype(np.int32)
 
 
 def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
     """(token, id): the cells of every class."""
-    held = own.sparkSession.sparkContext.broadcast(classes)  # fixed size: 4 MB
+    held = own.sparkSession.sparkContext.broadcast(classes)  # fixed size: 8 MB
 
     def run(batches):
         cls = held.value
@@ -240,8 +248,8 @@ def cell_search(rows: DataFrame, pct: int) -> DataFrame:
     the tree of the members of their block (`held`), pairs of one component left out."""
 
     def pairs(ids, n, pts, comp, asks, held):
-        g = min(len(p) for p in pts)
-        fine = np.array([fold(np.frombuffer(p, np.uint8).astype(np.int16), g) for p in pts])
+        g = 2 * min(len(p) for p in pts)
+        fine = np.array([fold(counts(p), g) for p in pts])
         v = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int32)
         own = np.flatnonzero(held)
         tree = RTree(v[own], n[own])
@@ -285,8 +293,8 @@ def bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
         for b in slices(batches):
             out = [[], []]
             for i, j, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))):
-                g = min(len(x), len(y))
-                x, y = (fold(np.frombuffer(p, np.uint8).astype(np.int16), g) for p in (x, y))
+                g = 2 * min(len(x), len(y))
+                x, y = (fold(counts(p), g) for p in (x, y))
                 if reaches(y[None], np.array([m]), x, n, pct)[0]:
                     out[0].append(i)
                     out[1].append(j)
