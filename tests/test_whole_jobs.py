@@ -79,3 +79,21 @@ def test_recurrence_takes_all_steps(spark, path_dir):
             got[t].append(val[s])
         val = {v: x + i + (sum(got[v]) // len(got[v]) if got[v] else 0) for v, x in val.items()}
     assert values(q.QUERIES["checkpoint_recurrence_full"](spark, d)) == val
+
+
+@pytest.mark.parametrize("mode", ["edge", "vertex"])
+def test_label_propagation_ends_by_its_rule(spark, path_dir, monkeypatch, mode):
+    seen, run = [], q.lp.run
+
+    def kept(g, s, *a, **kw):
+        seen.append((s, run(g, s, *a, **kw)))
+        return seen[-1][1]
+
+    monkeypatch.setattr(q.lp, "run", kept)
+    out = q.QUERIES[f"lp_run_{mode}"](spark, path_dir[0])
+    s, (_, history) = seen[0]
+    scores = [h["score"] for h in history]
+    still = history[-1]["migrations"] == 0
+    level = len(scores) > 3 and abs(1 - scores[-1] / max(scores[-4:-1])) < s.threshold
+    assert s.max_iterations == 290 and len(history) < 290 and (still or level)
+    assert out.where("part is null or part < 0 or part > 3").count() == 0 and out.count() == 35

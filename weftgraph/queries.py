@@ -227,12 +227,12 @@ def repartition_down(spark, d):
 
 @query("lp_run_edge")
 def lp_run_edge(spark, d):
-    return lp.run(_g(spark, d), lp.Settings(k=K, mode="edge", max_iterations=3))[0]
+    return lp.run(_g(spark, d), lp.Settings(k=K, mode="edge"))[0]
 
 
 @query("lp_run_vertex")
 def lp_run_vertex(spark, d):
-    return lp.run(_g(spark, d), lp.Settings(k=K, mode="vertex", max_iterations=3))[0]
+    return lp.run(_g(spark, d), lp.Settings(k=K, mode="vertex"))[0]
 
 
 # -- quality -------------------------------------------------------------------------------
