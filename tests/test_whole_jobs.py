@@ -1,5 +1,6 @@
 """Queries that run to their operators' own end, against brute force; they have no SQL form."""
 
+import hashlib
 import heapq
 from collections import Counter, defaultdict
 
@@ -97,3 +98,49 @@ def test_label_propagation_ends_by_its_rule(spark, path_dir, monkeypatch, mode):
     level = len(scores) > 3 and abs(1 - scores[-1] / max(scores[-4:-1])) < s.threshold
     assert s.max_iterations == 290 and len(history) < 290 and (still or level)
     assert out.where("part is null or part < 0 or part > 3").count() == 0 and out.count() == 35
+
+
+def brute_sample(g, kind, k, beta, sigma, tau, seed):
+    """samplers.sample in plain Python, on seeds that it is given."""
+    from weftgraph.operators import samplers
+
+    deg = {r.id: r.out_deg + r.in_deg for r in g.V.collect()}
+    near = defaultdict(list)
+    for r in g.A.collect():
+        near[r.src].append(r.dst)
+    n = g.V.where("declared").count()
+    want, first = min(max(k, int(beta * n) + 1), len(deg)), int(sigma * n) + 1
+    u = lambda step, i: int(hashlib.md5(f"{seed}:{step}:{i}".encode()).hexdigest()[:8], 16) / 2**32
+    nominate = {r.degree: r.nominate_p for r in samplers.gd_probabilities(g.V.groupBy((F.col("out_deg") + F.col("in_deg")).alias("degree")).agg(F.count("*").alias("n")), first).collect()}
+    for attempt in range(20):
+        ids = [r.id for r in samplers.seeds(g, kind, first, sigma, seed, f"10.{attempt}").collect()]
+        if ids:
+            break
+    part = {i: int(u("10p", i) * k) for i in ids}
+    front = set(part)
+    for r in range(50):
+        size, empty = len(part), [i for i in range(k) if i not in part.values()]
+        if size >= want and not empty:
+            return part
+        if size >= want:
+            part = {i: empty[int(u(f"{10 + r}n", i) * len(empty))] if u(f"{10 + r}m", i) < len(empty) / k else p for i, p in part.items()}
+            continue
+        times = Counter()
+        for s in front:
+            open_ = sorted((x for x in near[s] if x not in part), key=lambda x: (-deg[x], x))
+            times.update([x for x in open_ if u(f"{10 + r}g", x) < nominate[deg[x]]] if kind == "GD" else open_[:tau])
+        p = (want - size) / times.total() if times else 0.0
+        labels = empty or list(range(k))
+        new = {i: labels[int(u(f"{10 + r}l", i) * len(labels))] for i in times if u(f"{10 + r}a", i) < p}
+        part |= new
+        front = set(new) or set(part)
+    raise AssertionError("no full sample")
+
+
+@pytest.mark.parametrize("kind", ["RD", "HD", "CC", "GD"])
+def test_samples_are_finished(spark, kind):
+    d = "/root/testdata/sf0.001"
+    got = values(q.QUERIES[f"sample_{kind.lower()}_full"](spark, d))
+    g = q._g(spark, d, "uu")
+    assert got == brute_sample(g, kind, q.K, 0.15, q.SIGMA_SHARE, q.TAU, q.SEED)
+    assert len(got) > 0.15 * g.V.where("declared").count() and set(got.values()) == set(range(q.K))

@@ -124,7 +124,7 @@ def sample(g: Graph, kind: str, k: int, beta: float = 0.15, sigma: float = 0.05,
 
 
 def one_round(g: Graph, kind: str, sigma: int, share: float, tau: int, want: int, seed: int = 1) -> DataFrame:
-    """(id, nominated, joins) after seeds and one nomination; for tests against SQL."""
+    """(id, nominations) after seeds and one nomination, nobody joining; for tests against SQL. `want` is not used."""
     s = seeds(g, kind, sigma, share, seed, 10)
     deg = _total(g.V)
     cand = g.A.select("src", "dst").join(s.select(F.col("id").alias("src")), "src").join(s.select(F.col("id").alias("dst")), "dst", "left_anti").join(deg.select(F.col("id").alias("dst"), "degree"), "dst")

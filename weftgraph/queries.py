@@ -359,6 +359,16 @@ _sample_query("CC", SIG + CC + _cut_sql("ccm", "cc_milli") + _round_sql(f"SELECT
 _sample_query("GD", SIG + GD + _round_sql(f"SELECT id FROM v JOIN gd ON gd.degree = v.out_deg + v.in_deg WHERE {U10} < seed_p", f"SELECT dst FROM cand JOIN gd USING (degree) WHERE {uniform_sql(SEED, '11g', 'dst')} < nominate_p"))
 
 
+def _sample_full(kind: str):
+    @query(f"sample_{kind.lower()}_full")
+    def q(spark, d):
+        return samplers.sample(_g(spark, d, "uu"), kind, K, sigma=SIGMA_SHARE, tau=TAU, seed=SEED)[0]
+
+
+for _kind in ("RD", "HD", "CC", "GD"):
+    _sample_full(_kind)
+
+
 @query("hd_cutoff", base("uu") + SIG + _cut_sql("(SELECT out_deg + in_deg AS dg FROM v)", "dg") + " SELECT * FROM ct")
 def hd_cutoff(spark, d):
     g = _g(spark, d, "uu")
