@@ -27,3 +27,29 @@ def test_warc_decodes_every_reference(spark):
     assert got[0] == "© 2024 · café — it’s — A&lt; a b c d ¬areference; AT&T � ©"
     assert got[1] == "kept" and got[2] == "kept" and got[3] == "kept\nand this"
     assert got[4] == "\n".join(html_lib.unescape(r) for r in ("&NotEqualTilde;", "&hearts;", "&Aacute;", "&#128578;")) and got[5] == ""
+
+
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+
+
+def test_swapped_heavy_words_are_retrieved(spark):
+    """Items of common words and heavy ones of a subject; the paraphrase has other heavy words of the subject."""
+    r = random.Random(12)
+    common = [f"c{i}" for i in range(40)]
+    subjects = [[f"s{k}x{i}" for i in range(24)] for k in range(60)]
+    texts = [" ".join(r.choice(subjects[n % 60]) if r.random() < 0.5 else r.choice(common) for _ in range(120)) for n in range(480)]
+    items, truth = [], set()
+    for k in range(0, 60, 6):
+        w = [r.choice(common) for _ in range(30)]
+        heavy = sorted(r.sample(range(25), 10))  # the last words, the answer, stay
+        old, new = w[:], w[:]
+        for at, (a, b) in zip(heavy, zip(subjects[k][:10], subjects[k][12:22])):
+            old[at], new[at] = a, b
+        items.append((k, " ".join(old)))
+        texts.append(" ".join(new))
+        truth.add((len(texts) - 1, k))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    find = lambda **kw: {(x.doc_id, x.item_id) for x in decontaminate.find(docs, bench, **kw).collect()}
+    assert not truth & find(near=2.0)  # containment alone
+    assert truth <= find()

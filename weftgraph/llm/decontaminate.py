@@ -2,19 +2,21 @@
 
 Items are taken in blocks of at most `block` (256), each searched in a latent space of its own:
 1. Words (split at ASCII white space, outer ASCII marks stripped, lower case) become ids of the
-   block's vocabulary, all other words one id; the id rows are written once and read by each pass.
+   block's vocabulary: the items' words and the CORPUS_WORDS words in most documents, among those
+   in at most `share` of them. All other words share one id; the id rows are written once.
 2. Document frequencies over all documents give the weights: log(share * N / df), at least 0,
-   so words of more than `share` of the documents weigh nothing in the corpus passes and, in the
-   search, a tenth of their usual log(N / df).
+   so words of more than `share` of the documents weigh nothing in the latent space and, in the
+   containment test, a tenth of their usual log(N / df).
 3. A distributed randomised SVD of the TF-IDF passages: the rows of A are all PASSAGE-word
-   passages of the corpus and, weighted to the same energy, the items. One pass sums A'(A W)
-   for a seeded Gaussian W, one pass (A Q)'(A Q); the driver sees only vocabulary x rank arrays
-   of fixed size. With rank >= block the latent space holds every item.
-4. Cosine search: windows at every STRIDE words, sized by the items, are compared with every
-   item in latent space. The threshold is the cosine that a window x has with an item y when it
-   holds the share `held` of the item's weight, held * |y| / |x|, so that a short or common
-   item in a heavy window is not lost; a bound from each word's largest share in any item skips
-   windows that cannot reach it.
+   passages of the corpus and the items. One pass sums A'(A W) for a seeded Gaussian W, one pass
+   (A Q)'(A Q); the driver sees only vocabulary x rank arrays of fixed size. The space is cut at
+   LATENT dimensions, fewer than a full block has items, so that words of like company fall together.
+4. Retrieval: windows at every STRIDE words, sized by the items, by two routes. Latent: cosine of at
+   least `near` between window and item in the space of 3, which also meets an item whose heavy
+   words were swapped for others of the same company. Containment: the window holds the share
+   `held` of the item's TF-IDF weight, so that a copy of an item whose words the corpus does not
+   know, or in a window of another subject, is not lost; a bound from each word's largest share in
+   any item skips windows that cannot reach it. `cosine` is that of the route that met the window.
 5. Verification: longest common subsequence of item and window. At least `sure` of the item's
    words: contaminated. At least `close`: contaminated if `answer_share` of the item's last
    ANSWER words are there too, so a paraphrase must also give the answer away.
@@ -30,6 +32,8 @@ cannot clash. Empty tables give an empty result.
 
 from __future__ import annotations
 
+from collections import Counter
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -41,6 +45,7 @@ from .quality import BROADCAST_ROWS, STRIP, row_hash
 PASSAGE, STRIDE, RANK, EXTRA, ANSWER = 64, 16, 256, 16, 5
 OTHER = 65535
 SALT = 32
+LATENT, CORPUS_WORDS, TASK_WORDS = 64, 8192, 32_768
 
 
 def clean(word: bytes) -> str:
@@ -175,6 +180,33 @@ def tokenised(docs: DataFrame, vocabulary: dict[str, int], id_col: str, text_col
     return picked.mapInArrow(run, f"id {kind}, row long, ids binary")
 
 
+def corpus_words(docs: DataFrame, text_col: str, share: float, limit: int = CORPUS_WORDS) -> list[str]:
+    """The words of most documents, among those of at most `share` of them (any, below 20 documents).
+    A task passes on its TASK_WORDS most frequent words, with counts."""
+
+    def count(batches):
+        seen, known, n = Counter(), {}, 0
+        for b in slices(batches):
+            for t in b.column(0).to_pylist():
+                n += 1
+                raw = set((t or "").encode().split())
+                for x in raw.difference(known):
+                    known[x] = clean(x)
+                seen.update({known[x] for x in raw})
+            if len(known) > 250_000:
+                known.clear()
+            if len(seen) > 250_000:
+                seen = Counter(dict(seen.most_common(125_000)))
+        seen.pop("", None)
+        top = [("", n), *sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:TASK_WORDS]]
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in top]), pa.array([x[1] for x in top], pa.int64())], names=["word", "n"])
+
+    got = cut(docs.select(F.col(text_col).cast("string")).mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")), "corpus-words")
+    n = (got.where("word = ''").first() or [0, 0])[1]
+    most = share * n if n >= 20 else n
+    return [r[0] for r in got.where((F.col("word") != "") & (F.col("n") <= most) & (F.col("n") > 1)).orderBy(F.desc("n"), "word").limit(limit).collect()]
+
+
 def weights(coded: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.ndarray]:
     """Weights of every word id from its document frequency, without and with the common words; last:
     that of a word no item has."""
@@ -198,8 +230,9 @@ def weights(coded: DataFrame, size: int, share: float) -> tuple[np.ndarray, np.n
     return rare, full
 
 
-def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, full: np.ndarray, rank: int = RANK, seed: int = 1) -> np.ndarray:
-    """size x rank right singular vectors of the TF-IDF passages of corpus and items."""
+def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, full: np.ndarray, rank: int = RANK, seed: int = 1, hold: bool = True) -> np.ndarray:
+    """size x rank right singular vectors of the TF-IDF passages of corpus and items. With hold, items weigh
+    as much as the corpus and are held whole; a space for retrieval is without."""
     size = len(w) - 1
     width = min(size, rank + EXTRA)
     weighs = w[:size] > 0
@@ -226,12 +259,14 @@ def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, full:
     wide = np.random.default_rng(seed).standard_normal((size, width))
     y = _summed(coded.mapInArrow(run(wide, False), PARTS), size, width)
     own = a.T @ (a @ wide)
-    scale = max(1.0, np.linalg.norm(y) / max(1e-12, np.linalg.norm(own)))
+    scale = max(1.0, np.linalg.norm(y) / max(1e-12, np.linalg.norm(own))) if hold else 1.0
     q, _ = np.linalg.qr(y + scale * own)
     b = _summed(coded.mapInArrow(run(q, True), PARTS), width, width) + scale * (a @ q).T @ (a @ q)
     _, u = np.linalg.eigh((b + b.T) / 2)
     v = q @ u[:, ::-1][:, :rank]
     # Items that the corpus outweighs are brought in by one more orthogonal step, within the rank.
+    if not hold:
+        return v
     rest = a - (a @ v) @ v.T
     if len(items) and np.linalg.norm(rest) > 1e-3 * np.linalg.norm(a) and len(items) < size:
         qi, _ = np.linalg.qr(a.T)
@@ -240,14 +275,19 @@ def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, full:
     return v
 
 
-def search(coded: DataFrame, items: list[tuple], words: list[np.ndarray], w: np.ndarray, v: np.ndarray, rule: dict) -> DataFrame:
+def search(coded: DataFrame, items: list[tuple], words: list[np.ndarray], rare: np.ndarray, w: np.ndarray, v: np.ndarray, rule: dict) -> DataFrame:
     size = len(w) - 1
-    a = np.zeros((len(items), size))
+    own = 1 + max(int(x.max(initial=-1)) for x in words)  # ids of the items' words come first
+    a, member = np.zeros((len(items), own)), np.zeros((own, len(items)), bool)
     for i, x in enumerate(words):
         np.add.at(a[i], x, w[x])
+        member[x, i] = True
     norm = np.linalg.norm(a, axis=1)
-    latent = (w[:size, None] * v) @ (a @ v).T / np.where(norm > 0, norm, 1)  # word x item: share in the dot product
-    latent = np.where(np.abs(latent) < 1e-7, 0, latent).astype(np.float32)
+    part_of = ((w[:own, None] * a.T) / np.where(norm > 0, norm, 1)).astype(np.float32)  # word x item: share in the dot product
+    space = np.append(rare[:size, None] * v, np.zeros((1, v.shape[1])), axis=0).astype(np.float32)
+    centre = np.array([space[x].sum(0) for x in words]).reshape(len(words), -1)
+    far = np.linalg.norm(centre, axis=1)
+    centre = (centre / np.where(far > 1e-6, far, np.inf)[:, None]).astype(np.float32)  # no latent place: 0
     length = np.array([len(x) for x in words])
     sizes = {}
     for i, n in enumerate(length):
@@ -257,8 +297,8 @@ def search(coded: DataFrame, items: list[tuple], words: list[np.ndarray], w: np.
     item_ids = [x[0] for x in items]
     lists = [x.tolist() for x in words]
     square = (w * w).astype(np.float64)
-    bounds = [np.append(np.maximum(latent[:, sel].max(1), 0), 0.0) for _, sel in plans]
-    held, sure, close, answer = rule["held"], rule["sure"], rule["close"], rule["answer_share"]
+    bounds = [np.append(np.maximum(part_of[:, sel].max(1), 0), 0.0) for _, sel in plans]
+    held, near, sure, close, answer = rule["held"], rule["near"], rule["sure"], rule["close"], rule["answer_share"]
 
     def hits(ids: np.ndarray):
         ids = np.minimum(ids.astype(np.int64), size)
@@ -266,29 +306,44 @@ def search(coded: DataFrame, items: list[tuple], words: list[np.ndarray], w: np.
         if not len(cuts):
             return
         sq = np.concatenate([[0.0], np.cumsum(np.add.reduceat(square[ids], cuts))])
+        z = np.zeros((len(cuts) + 1, space.shape[1]))
+        for at in range(0, len(ids), 4096 * STRIDE):
+            some = ids[at : at + 4096 * STRIDE]
+            z[1 + at // STRIDE :][: -(-len(some) // STRIDE)] = np.add.reduceat(space[some], np.arange(0, len(some), STRIDE), axis=0)
+        z = np.cumsum(z, axis=0)
         done: dict[int, tuple] = {}
+
+        def verify(x, blocks, i, score):
+            if i in done and done[i][1] >= 1:
+                return
+            part = ids[cuts[x] : cuts[x] + blocks * STRIDE]
+            if member[part[part < own], i].sum() < close * len(lists[i]):  # no common subsequence is longer
+                return
+            n = lcs(lists[i], part.tolist())
+            if n >= close * len(lists[i]):
+                tail, there = lists[i][-ANSWER:], set(part.tolist())
+                there = sum(y in there for y in tail) / len(tail)
+                if n >= sure * len(lists[i]) or there >= answer:
+                    got = (float(score), n / len(lists[i]), int(cuts[x]))
+                    if i not in done or got[1] > done[i][1]:
+                        done[i] = got
+
         for (blocks, sel), bound in zip(plans, bounds):
             to = np.minimum(np.arange(len(cuts)) + blocks, len(cuts))
             norms = np.sqrt(np.maximum(sq[to] - sq[:-1], 1e-12))
-            most = np.concatenate([[0.0], np.cumsum(np.add.reduceat(bound[ids], cuts))])
+            most = np.concatenate([[0.0], np.cumsum(np.add.reduceat(bound[np.minimum(ids, own)], cuts))])
             # a word can add no more than its largest share: windows below the threshold drop out
             for x in np.flatnonzero(most[to] - most[:-1] >= held * norm[sel].min()):
                 part = ids[cuts[x] : cuts[x] + blocks * STRIDE]
-                known = part[part < size]
-                dot = latent[known][:, sel].sum(0)
-                score = dot / norms[x]
+                score = part_of[part[part < own]][:, sel].sum(0) / norms[x]
                 for j in np.flatnonzero(score >= held * norm[sel] / norms[x] - 1e-6):
-                    i = int(sel[j])
-                    if i in done and done[i][1] >= 1:
-                        continue
-                    n = lcs(lists[i], part.tolist())
-                    if n >= close * len(lists[i]):
-                        tail = lists[i][-ANSWER:]
-                        there = sum(y in set(part.tolist()) for y in tail) / len(tail)
-                        if n >= sure * len(lists[i]) or there >= answer:
-                            got = (float(score[j]), n / len(lists[i]), int(cuts[x]))
-                            if i not in done or got[1] > done[i][1]:
-                                done[i] = got
+                    verify(x, blocks, int(sel[j]), score[j])
+            for at in range(0, len(cuts), 4096):
+                p = z[to[at : at + 4096]] - z[at : at + len(to[at : at + 4096])]
+                far = np.linalg.norm(p, axis=1)
+                cosine = p.astype(np.float32) @ centre[sel].T / np.where(far > 1e-6, far, np.inf)[:, None].astype(np.float32)
+                for x, j in np.argwhere(cosine >= near):
+                    verify(at + x, blocks, int(sel[j]), cosine[x, j])
         for i, got in sorted(done.items()):
             yield (item_ids[i], *got)
 
@@ -312,21 +367,25 @@ def items_type(items) -> str:
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",
-         held: float = 0.5, close: float = 0.6, sure: float = 0.8, answer_share: float = 0.6, share: float = 0.03, block: int = RANK) -> DataFrame:
+         held: float = 0.5, near: float = 0.5, close: float = 0.6, sure: float = 0.8, answer_share: float = 0.6, share: float = 0.03, block: int = RANK) -> DataFrame:
     """(id, row, item_id, cosine, lcs_share, start_word): each document and item of it, at its best window."""
     small_batches(docs.sparkSession)
-    rule = {"held": held, "sure": sure, "close": close, "answer_share": answer_share}
-    out, batch = None, []
+    rule = {"held": held, "near": near, "sure": sure, "close": close, "answer_share": answer_share}
+    out, batch, corpus = None, [], None
 
     def one(items):
         vocabulary: dict[str, int] = {}
         words = []
         for _, text in items:
             words.append(np.array([vocabulary.setdefault(clean(x), len(vocabulary)) for x in text.encode().split() if clean(x)], np.int64))
+        nonlocal corpus
+        corpus = corpus_words(docs, text_col, share) if corpus is None else corpus
+        for x in corpus:
+            vocabulary.setdefault(x, len(vocabulary))
         coded = cut(tokenised(docs, vocabulary, id_col, text_col), "word-ids")
         rare, full = weights(coded, len(vocabulary), share)
-        v = latent_space(coded, words, rare, full, min(RANK, len(words) + EXTRA))
-        return search(coded, items, words, full, v, rule)
+        v = latent_space(coded, words, rare, rare, LATENT, hold=False)
+        return search(coded, items, words, rare, full, v, rule)
 
     n_words = 0
     for r in benchmark.select(item_col, item_text).where(F.length(F.trim(item_text)) > 0).orderBy(item_col, item_text).toLocalIterator():
