@@ -53,3 +53,15 @@ def test_swapped_heavy_words_are_retrieved(spark):
     find = lambda **kw: {(x.doc_id, x.item_id) for x in decontaminate.find(docs, bench, **kw).collect()}
     assert not truth & find(near=2.0)  # containment alone
     assert truth <= find()
+
+
+def test_warc_keeps_source_headers_and_links(spark):
+    http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=iso-8859-1\r\nLast-Modified: Mon, 01 Jan 2024 00:00:00 GMT\r\nX-Long: a\r\n  b\r\nServer: x\r\n\r\n"
+    page = """<a href="/q?a=1&amp;b=2">1</a><A class=x HREF='b\n/c'>2</A><a data-href=no href=/d>3</a><a name=z>4</a>"""
+    t = spark.createDataFrame([(1, "<urn:uuid:1>", "http://a/", warc.DATE, http, page)], "key long, record_id string, uri string, date string, http string, payload string")
+    block = warc.derive(t).where("warc_type = 'metadata'").first().block.split("\r\n")
+    assert block[5:] == [
+        "source-http-status: HTTP/1.1 200 OK", "source-http-header: Content-Type: text/html; charset=iso-8859-1",
+        "source-http-header: Last-Modified: Mon, 01 Jan 2024 00:00:00 GMT", "source-http-header: X-Long: a b", "source-http-header: Server: x",
+        "outlink: /q?a=1&b=2", "outlink: b/c", "outlink: /d", "",
+    ]
