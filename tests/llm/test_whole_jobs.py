@@ -65,3 +65,20 @@ def test_warc_keeps_source_headers_and_links(spark):
         "source-http-header: Last-Modified: Mon, 01 Jan 2024 00:00:00 GMT", "source-http-header: X-Long: a b", "source-http-header: Server: x",
         "outlink: /q?a=1&b=2", "outlink: b/c", "outlink: /d", "",
     ]
+
+
+@pytest.mark.parametrize("n", [17, 49])
+def test_inserted_words_stay_in_the_window(spark, n):
+    """Items just above a multiple of 32 words less 15; ten words come in, at any place in a stride."""
+    r = random.Random(n)
+    word = lambda k: [f"w{r.randrange(3000)}" for _ in range(k)]
+    item = [f"i{k}" for k in range(n)]
+    texts = [" ".join(word(100)) for _ in range(40)]
+    for at in range(16):
+        other = r.sample(range(n - 5), round(0.28 * n))  # others in their place; the answer stays
+        w = ["other" if k in other else x for k, x in enumerate(item)]
+        w = w[: n // 3] + word(5) + w[n // 3 : n - 6] + word(5) + w[n - 6 :]
+        texts.append(" ".join(word(32 + at) + w + word(40)))
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in enumerate(texts)], DOC)
+    bench = spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")
+    assert {x.doc_id for x in decontaminate.find(docs, bench).collect()} == set(range(40, 56))

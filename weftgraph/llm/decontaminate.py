@@ -11,7 +11,8 @@ Items are taken in blocks of at most `block` (256), each searched in a latent sp
    passages of the corpus and the items. One pass sums A'(A W) for a seeded Gaussian W, one pass
    (A Q)'(A Q); the driver sees only vocabulary x rank arrays of fixed size. The space is cut at
    LATENT dimensions, fewer than a full block has items, so that words of like company fall together.
-4. Retrieval: windows at every STRIDE words, sized by the items, by two routes. Latent: cosine of at
+4. Retrieval: windows at every STRIDE words, of 1 / `close` of the item's length and
+   a stride, so that a paraphrase with as many more words fits in one, by two routes. Latent: cosine of at
    least `near` between window and item in the space of 3, which also meets an item whose heavy
    words were swapped for others of the same company. Containment: the window holds the share
    `held` of the item's TF-IDF weight, so that a copy of an item whose words the corpus does not
@@ -277,6 +278,7 @@ def latent_space(coded: DataFrame, items: list[np.ndarray], w: np.ndarray, full:
 
 def search(coded: DataFrame, items: list[tuple], words: list[np.ndarray], rare: np.ndarray, w: np.ndarray, v: np.ndarray, rule: dict) -> DataFrame:
     size = len(w) - 1
+    held, near, sure, close, answer = rule["held"], rule["near"], rule["sure"], rule["close"], rule["answer_share"]
     own = 1 + max(int(x.max(initial=-1)) for x in words)  # ids of the items' words come first
     a, member = np.zeros((len(items), own)), np.zeros((own, len(items)), bool)
     for i, x in enumerate(words):
@@ -292,13 +294,12 @@ def search(coded: DataFrame, items: list[tuple], words: list[np.ndarray], rare:
     sizes = {}
     for i, n in enumerate(length):
         if norm[i] > 0:
-            sizes.setdefault(int(-(-(n + STRIDE - 1) // (2 * STRIDE)) * 2), []).append(i)
+            sizes.setdefault(int(-(-(n / close + STRIDE - 1) // (2 * STRIDE)) * 2), []).append(i)  # room for the words of a paraphrase
     plans = [(blocks, np.array(sel)) for blocks, sel in sorted(sizes.items())]
     item_ids = [x[0] for x in items]
     lists = [x.tolist() for x in words]
     square = (w * w).astype(np.float64)
     bounds = [np.append(np.maximum(part_of[:, sel].max(1), 0), 0.0) for _, sel in plans]
-    held, near, sure, close, answer = rule["held"], rule["near"], rule["sure"], rule["close"], rule["answer_share"]
 
     def hits(ids: np.ndarray):
         ids = np.minimum(ids.astype(np.int64), size)
