@@ -10,14 +10,42 @@ from pyspark.sql import DataFrame
 
 
 def shared_dir(spark) -> str:
-    """spark.checkpoint.dir where the cluster names one, else a local folder (tests)."""
+    """spark.checkpoint.dir where the cluster names one, else, on a local master only, a folder under the temp folder."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return base or "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-shared")
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-shared")
+
+
+def _home(spark) -> str:
+    return f"{shared_dir(spark).rstrip('/')}/weft-{spark.sparkContext.applicationId}"
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it again."""
+    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weft-{uuid.uuid4().hex}/{name}"
+    path = f"{_home(spark)}/{uuid.uuid4().hex}-{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._weft_path = path
+    return out
+
+
+def _delete(spark, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame) -> None:
+    """Delete tables that cut() wrote and nothing will read again."""
+    for t in tables:
+        if path := getattr(t, "_weft_path", None):
+            _delete(t.sparkSession, path)
+
+
+def clear(spark) -> None:
+    """Delete every table that cut() wrote in this application; call it when the results are stored."""
+    _delete(spark, _home(spark))
