@@ -340,22 +340,88 @@ def test_decontamination(spark):
     df = docs(spark, texts).withColumnRenamed("source", "row")
     got = {(x.doc_id, x.item_id) for x in decontaminate.find(df, bench).collect() if x.item_id != 42}
     assert got == truth
-    assert {x for x in truth} == {(x.doc_id, x.item_id) for x in decontaminate.find(df, bench.where("item_id < 42"), block=7).collect()}
+    assert {x for x in truth} == {(x.doc_id, x.item_id) for x in decontaminate.find(df, bench.where("item_id < 42")).collect()}
     kept = decontaminate.drop_contaminated(df, bench.where("item_id < 42"))
     assert kept.columns == df.columns and kept.count() == len(texts) - len({d for d, _ in truth})
     assert decontaminate.find(df, bench.limit(0)).count() == 0 and decontaminate.find(df.limit(0), bench).count() == 0
 
 
-def test_latent_space_holds_the_items(spark):
+def test_latent_space_is_that_of_the_passages(spark):
+    """Against a dense SVD: the space holds nearly as much of the TF-IDF passages as the best one of its rank."""
     r = random.Random(9)
-    items = [np.array([r.randrange(300) for _ in range(20)]) for _ in range(12)]
-    coded = decontaminate.tokenised(docs(spark, [" ".join(words(r, 200, 300)) for _ in range(40)]), {f"w{i}": i for i in range(300)}, "doc_id", "text")
-    w = np.append(np.ones(300), 1.0)
-    v = decontaminate.latent_space(coded, items, w, w, rank=64)
-    assert np.allclose(v.T @ v, np.eye(v.shape[1]), atol=1e-6)
-    for x in items:
-        y = np.bincount(x, minlength=300).astype(float)
-        assert np.linalg.norm(y @ v) > 0.99 * np.linalg.norm(y)
+    subjects = [[f"s{k}x{i}" for i in range(12)] for k in range(20)]
+    texts = [" ".join(r.choice(subjects[n % 20]) if r.random() < 0.9 else r.choice(subjects[r.randrange(20)]) for _ in range(200)) for n in range(80)]
+    df = docs(spark, texts)
+    coded = decontaminate.tokenised(df, "doc_id", "text").cache()
+    h = {w: int(decontaminate.word_hashes(w)[0]) for s in subjects for w in s}
+    df_of = {x.word: x.n for x in decontaminate.document_counts(coded, np.array(list(h.values())), 99).collect()}
+    assert df_of == {h[w]: sum(w in set(t.split()) for t in texts) for w in h}
+    voc = decontaminate.Vocabulary(df_of, 80, 0.5)
+    v = decontaminate.latent_space(coded.where("bucket is null"), voc, rank=20)
+    assert v.shape == (240, 20) and np.allclose(v.T @ v, np.eye(20), atol=1e-6)
+    a = []
+    for t in texts:
+        ids = voc.places(np.array([h[w] for w in t.split()], np.uint32))
+        a += [np.bincount(ids[i : i + 64], minlength=240) * voc.rare[:-1] for i in range(0, 200, 64)]
+    a = np.array(a)
+    best = (np.linalg.svd(a, compute_uv=False)[:20] ** 2).sum()
+    assert np.linalg.norm(a @ v) ** 2 > 0.9 * best
+
+
+def test_word_hashes():
+    r = random.Random(23)
+    base = ["a", "B.", "(é)", "--", "x" * 70, "Ñandú", "don't", "'q'", "", "\n", "\x1c", "-a-b-", "🙂"]
+    text = " ".join(r.choice(base) for _ in range(4000))
+    split = [w.decode().strip(quality.STRIP).lower() for w in text.encode().split()]
+    got = decontaminate.word_hashes(text)
+    assert len(got) == len(split) and len({*zip(got.tolist(), split)}) == len(set(split)) == len(set(got.tolist()))
+    old, decontaminate.BLOCK = decontaminate.BLOCK, 64  # parts, and words longer than a part
+    try:
+        assert decontaminate.word_hashes(text).tolist() == got.tolist()
+    finally:
+        decontaminate.BLOCK = old
+    assert len(decontaminate.word_hashes(None)) == len(decontaminate.word_hashes(" \t ")) == 0
+
+
+def brute_found(texts, items, sure=0.8):
+    """Documents that hold at least `sure` of an item's words in a row of windows, by plain search."""
+    words_of = lambda t: [w.strip(quality.STRIP).lower() for w in (t or "").split()]
+    out = set()
+    for d, t in enumerate(texts):
+        doc = words_of(t)
+        for i, x in items:
+            item = [w for w in words_of(x) if w]
+            size = 2 * len(item) + 16
+            if item and any(decontaminate.lcs(item, doc[at : at + size]) >= sure * len(item) for at in range(0, max(1, len(doc)), 8)):
+                out.add((d, i))
+    return out
+
+
+def test_decontamination_equals_brute_force(spark):
+    r = random.Random(21)
+    items = [(i, " ".join(words(r, r.randint(6, 30), 600))) for i in range(12)]
+    texts = []
+    for n in range(60):
+        w = words(r, r.randint(0, 90), 600)
+        item = items[n % 12][1].split()
+        if n % 2:
+            w = w + [x if r.random() > 0.08 else "changed" for x in item] + words(r, r.randint(0, 40), 600)
+        texts.append(" ".join(w))
+    got = {(x.doc_id, x.item_id) for x in decontaminate.find(docs(spark, texts), spark.createDataFrame(items, "item_id long, text string"), answer_share=1.1).collect()}
+    want = brute_found(texts, items)
+    assert len(want) > 20 and got == want
+
+
+def test_decontamination_of_long_items(spark):
+    """An item of 40,000 words, one of 70,000 distinct ones, and words of any length."""
+    r = random.Random(22)
+    long, many, huge = words(r, 40_000, 5000), [f"m{k}" for k in range(70_000)], ["x" * 100_000, "short", "words", "y" * 70]
+    texts = [" ".join(words(r, 300) + long), " ".join(many), " ".join(words(r, 50)), " ".join(words(r, 20) + huge + words(r, 20)), " ".join(many[:40_000])]
+    df = docs(spark, texts).withColumn("a`b", F.create_map(F.lit("k"), F.lit(1))).withColumnRenamed("lang", "row")
+    bench = spark.createDataFrame([("a", " ".join(long)), ("b", " ".join(many)), ("c", " ".join(huge))], "item_id string, text string")
+    assert {(x.doc_id, x.item_id) for x in decontaminate.find(df, bench).collect()} == {(0, "a"), (1, "b"), (3, "c")}
+    kept = decontaminate.drop_contaminated(df, bench)
+    assert kept.columns == df.columns and {x.doc_id for x in kept.select("doc_id").collect()} == {2, 4}
 
 
 # -- 10: quality ---------------------------------------------------------------------------
@@ -390,7 +456,7 @@ def test_quality(spark):
 
 def test_sites_shrink(spark):
     ev = [(i, "a", "x", 0, 0.9, 0.0) for i in range(2)] + [(i, "b", "x", 0, 0.05 + 0.1 * (i % 2), 0.0) for i in range(500)] + [(i, "c", "x", 0, 0.75 + 0.1 * (i % 2), 0.0) for i in range(300)] + [(7, None, None, 0, 0.3, 0.0)]
-    s = {x.host: x for x in quality.sites(spark.createDataFrame(ev, "id long, host string, path string, row long, poor double, toxic double")).collect()}
+    s = {x.host: x for x in quality.sites(spark.createDataFrame(ev, "id long, host string, path string, row int, poor double, toxic double")).collect()}
     m = s["a"].all_poor
     assert m < s["a"].host_poor < 0.9 and abs(s["b"].host_poor - 0.1) < 0.02 and abs(s["c"].host_poor - 0.8) < 0.02 and None in s
 

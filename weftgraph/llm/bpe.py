@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from .common import slices, small_batches
 
+CACHE_CHARS = 64  # longer pieces are not kept
 CACHE_PIECES = 150_000
 CHUNK_CHARS = 2_000_000
 NONE = np.int32(2**31 - 1)
@@ -224,7 +225,7 @@ class Bpe:
             got = dict(zip(new, self.encode_pieces([p.encode() for p in new])))
             for at in lacking:
                 found[at] = [got[p] if x is None else x for p, x in zip(split[at], found[at])]
-            self.cache.update(got)
+            self.cache.update((p, x) for p, x in got.items() if len(p) <= CACHE_CHARS)
         for x in found:
             yield list(chain.from_iterable(x))
 

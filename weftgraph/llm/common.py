@@ -2,27 +2,32 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.loops import cut, drop, shared_dir  # noqa: F401  (operators take them from here)
+
+BROADCAST_ROWS = 1_000_000  # rows of at most 24 bytes
+SALT = 32
+
+
+def col(name: str):
+    """The top-level column of this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir where the
-    cluster names one, else (single-machine tests) a folder under the temp folder."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return base or "file://" + os.path.join(tempfile.gettempdir(), "weftgraph-shared")
+def row_key(*cols):
+    """128 bits (binary) that tell rows apart by the given columns, nulls included."""
+    parts = [x for c in cols for x in (c, c.isNull())]
+    half = lambda *first: F.lpad(F.hex(F.xxhash64(*first, *parts)), 16, "0")
+    return F.unhex(F.concat(half(F.lit(11)), half(F.lit(12), F.lit("b"))))
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/weft-{uuid.uuid4().hex}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def only(df: DataFrame, keys: DataFrame, how: str, on) -> DataFrame:
+    """Semi or anti join with a written table of narrow keys; broadcast up to BROADCAST_ROWS, shuffled beyond."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -34,13 +39,14 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, comp) for every id in edges; comp is the smallest id it is linked with, itself included.
 
-    Rounds of large-star and small-star (Kiveris et al., 2014): each keeps the components and
-    O(edges) rows, and hangs neighbours on the smallest id of a neighbourhood. A node with many
-    links is aggregated by a partial min before the shuffle. Every round is a written table;
-    the driver sees only two sums. Null ends and self links give no link.
+    Rounds of large-star and small-star (Kiveris et al., 2014) until nothing changes, O(log n)
+    of them: each keeps the components and O(edges) rows, and hangs neighbours on the smallest id
+    of a neighbourhood. A node with many links is aggregated by a partial min before the shuffle, and
+    its joins have one row on the other side, so AQE can split them. Every round is a written
+    table, the one before it is deleted; the driver sees three sums. Null ends and self links give no link.
     """
     e = (
         edges.select(F.col(a).cast("long").alias("a"), F.col(b).cast("long").alias("b"))
@@ -50,7 +56,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     )
     e = cut(e, "edges")
     before = None
-    for _ in range(max_rounds):
+    while True:
         both = e.select("a", "b").union(e.select("b", "a"))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -58,7 +64,9 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         small = small.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        e = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        new = cut(small.union(low.select("a", F.col("m").alias("b"))).distinct(), "edges")
+        drop(e)
+        e = new
         now = e.agg(F.count("*"), F.count_distinct("a"), F.sum(F.xxhash64("a", "b").cast("decimal(20,0)"))).first()
         if (now[0] == now[1] and now == before) or now[0] == 0:
             break
@@ -75,13 +83,63 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
         spark.conf.set(key, str(rows))
 
 
-def slices(batches, rows: int = 512):
-    """Arrow batches in parts of few rows, so that Python holds few texts at once; memory that
-    Arrow keeps for later goes back to the system at the end."""
-    import pyarrow as pa
-
+def slices(batches, rows: int = 512, size: int = 16 << 20):
+    """Arrow batches in parts of few rows and about `size` bytes, so that Python holds few texts at
+    once; memory that Arrow keeps for later goes back to the system at the end."""
     for b in batches:
-        for i in range(0, b.num_rows, rows):
-            yield b.slice(i, rows)
+        step = max(1, min(rows, int(b.num_rows * size / max(1, b.nbytes))))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
         del b
         pa.default_memory_pool().release_unused()
+
+
+# -- sums of arrays of a fixed size over all tasks ------------------------------------------
+
+PARTS = "block long, part long, data binary"
+
+
+def _step(cols: int) -> int:
+    return max(1, 32_768 // cols)
+
+
+def emit(m: np.ndarray):
+    """The blocks of an array, with a number of the task that is the salt of the sum."""
+    from pyspark import TaskContext
+
+    step = _step(m.shape[1])
+    at = list(range(0, len(m), step))
+    part = TaskContext.get().partitionId()
+    arrays = [pa.array(range(len(at)), pa.int64()), pa.array([part] * len(at), pa.int64()), pa.array([np.ascontiguousarray(m[i : i + step], np.float64).tobytes() for i in at], pa.binary())]
+    return pa.RecordBatch.from_arrays(arrays, names=["block", "part", "data"])
+
+
+def summed(parts: DataFrame, rows: int, cols: int) -> np.ndarray:
+    """Sum of (block, part, data) arrays of float64, each block a stretch of a rows x cols array."""
+
+    def add(batches):
+        key, total = None, None
+        for b in batches:
+            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                x = np.frombuffer(x, np.float64)
+                if k == key:
+                    total = total + x
+                    continue
+                if key is not None:
+                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
+                key, total = k, x
+        if key is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
+
+    def level(df, key):
+        df = df.select(key.alias("block"), "data").repartition("block").sortWithinPartitions("block")
+        return df.mapInArrow(add, "block long, data binary")
+
+    spread = level(parts, F.col("block") * SALT + F.pmod(F.col("part"), F.lit(SALT)))
+    got = level(spread, F.floor(F.col("block") / SALT).cast("long")).toArrow()  # rows x cols numbers in all
+    out = np.zeros(rows * cols)
+    step = _step(cols) * cols
+    for k, x in zip(got["block"].to_pylist(), got["data"].to_pylist()):
+        x = np.frombuffer(x, np.float64)
+        out[k * step : k * step + len(x)] += x
+    return out.reshape(rows, cols)

@@ -38,9 +38,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, cut, slices, small_batches
-from .decontaminate import PARTS, _emit, _summed
-from .quality import BROADCAST_ROWS
+from .common import BROADCAST_ROWS, PARTS, components, cut, emit, slices, small_batches, summed
 
 BUCKETS = 21  # bits of the sketch
 CELL_BLOCK, LEAF, FAN, COARSE = 2048, 16, 8, 64
@@ -190,9 +188,9 @@ def frequency_classes(own: DataFrame) -> np.ndarray:
             flat = [unpack(x) >> (48 - BUCKETS) for x in b.column("set").to_pylist()]
             if flat:
                 total[:, 0] += np.bincount(np.concatenate(flat), minlength=1 << BUCKETS)
-        yield _emit(total)
+        yield emit(total)
 
-    total = _summed(own.select("set").mapInArrow(run, PARTS), 1 << BUCKETS, 1)[:, 0]
+    total = summed(own.select("set").mapInArrow(run, PARTS), 1 << BUCKETS, 1)[:, 0]
     mean = total.mean()
     return np.where(total > mean + 6 * math.sqrt(mean) + 8, np.minimum(total, 2**31 - 1), 0).astype(np.int32)
 

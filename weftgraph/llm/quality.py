@@ -16,7 +16,9 @@
 Cases: null or empty text is a document without words, judged by its shape alone; null host or
 path is a site of its own; null labels are not used; repeated rows get a result each; without
 labels, or with one class only, that model gives probability 0 and nothing is rejected by it.
-Input columns other than those named are not read; names cannot clash. Empty table: empty result.
+Rows are told apart by 128 bits of the named columns, so rows that agree in these share a decision.
+Other columns are not read; their names and types cannot clash. Empty table: empty result. Texts of
+any length are read whole; ties in the choice of words go to the smaller word.
 """
 
 from __future__ import annotations
@@ -28,10 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, small_batches
+from .common import col, cut, only, row_key, slices, small_batches
 
 SAMPLE_ROWS, WORDS, THRESHOLD = 8000, 1000, 0.5
-BROADCAST_ROWS = 2_000_000
 CACHE_WORDS = 250_000
 MARKS = bytes(range(33, 48)) + bytes(range(58, 65)) + bytes(range(91, 97)) + bytes(range(123, 127))
 EDGES = {  # shape: thresholds of the indicators
@@ -121,22 +122,22 @@ def fit_logistic(rows: list[np.ndarray], y: np.ndarray, size: int, l2: float = 0
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_rows: int = SAMPLE_ROWS, words: int = WORDS) -> dict:
     """{vocabulary, poor: (weights, bias), toxic: (weights, bias)} from a bounded sample of labelled rows."""
     picked = (
-        labels.select(F.col(id_col).alias("id"), F.col("quality").alias("q"), F.col("toxic").alias("t"))
+        labels.select(col(id_col).alias("id"), F.col("quality").alias("q"), F.col("toxic").alias("t"))
         .where("id is not null and q is not null and t is not null")
         .orderBy(F.xxhash64("id"), "id", "q", "t")
         .limit(sample_rows)
     )
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
+    rows = docs.select(col(id_col).alias("id"), F.coalesce(col(text_col), F.lit("")).alias("text")).join(F.broadcast(picked), "id")
     rows = cut(rows.select("text", "q", "t"), "labelled")
     word = F.explode(F.array_distinct(F.transform(F.split("text", r"\s+"), lambda x: F.lower(F.btrim(x, F.lit(STRIP)))))).alias("word")
     counted = rows.select("q", "t", word).where("word <> ''").groupBy("word")
     counted = counted.agg(F.count("*").alias("n"), F.sum(1 - F.col("q")).alias("poor"), F.sum("t").alias("bad")).where("n >= 4")
     all_n, all_poor, all_bad = rows.agg(F.count("*"), F.sum(1 - F.col("q")), F.sum("t")).first()
     vocabulary: list[str] = []
-    for col, total in (("poor", all_poor), ("bad", all_bad)):
+    for kind, total in (("poor", all_poor), ("bad", all_bad)):
         if total:
             share = total / all_n  # signed root of the chi-square of word and class
-            lift = (F.col(col) - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
+            lift = (F.col(kind) - F.col("n") * share) / F.sqrt(F.col("n") * (share * (1 - share) + 1e-9))
             vocabulary += [r.word for r in counted.orderBy(F.desc(F.round(lift, 6)), "word").limit(words // 2).select("word").collect()]
     vocabulary = list(dict.fromkeys(vocabulary))
 
@@ -154,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
 
 def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host_col: str, path_col: str) -> DataFrame:
-    """(id, host, path, row, poor, toxic) of every row; row is a hash of the whole row."""
+    """(id, host, path, row, poor, toxic) of every row; row is a hash of the named columns."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
@@ -169,14 +170,14 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host_col:
             yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(out[0], pa.float64()), pa.array(out[1], pa.float64())], names=["id", "host", "path", "row", "poor", "toxic"])
 
     picked = docs.select(
-        F.col(id_col).alias("id"), F.col(host_col).cast("string").alias("host"), F.col(path_col).cast("string").alias("path"),
-        row_hash(docs).alias("row"), F.col(text_col).cast("string").alias("text"),
+        col(id_col).alias("id"), col(host_col).cast("string").alias("host"), col(path_col).cast("string").alias("path"),
+        own_key(id_col, text_col, host_col, path_col).alias("row"), col(text_col).cast("string").alias("text"),
     )
-    return picked.mapInArrow(run, f"id {kind}, host string, path string, row long, poor double, toxic double")
+    return picked.mapInArrow(run, f"id {kind}, host string, path string, row binary, poor double, toxic double")
 
 
-def row_hash(docs: DataFrame):
-    return F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])
+def own_key(*names: str):
+    return row_key(*[col(c) for c in names])
 
 
 def _strength(groups: DataFrame, value: str, mean, n: str = "n"):
@@ -227,8 +228,8 @@ def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return out.drop("h", "p").withColumnRenamed("id", id_col)
 
 
-def keep_good(docs: DataFrame, labels: DataFrame, **kw) -> DataFrame:
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source", path_col: str = "lang", **kw) -> DataFrame:
     """The rows of docs that the classifier keeps, with docs' own columns."""
-    gone = cut(classify(docs, labels, **kw).where(~F.col("keep")).select(F.col("row").alias("gone")).distinct(), "rejected")
-    few = gone.count() <= BROADCAST_ROWS  # 16 MB; beyond that a shuffled anti-join
-    return docs.join(F.broadcast(gone) if few else gone, row_hash(docs) == F.col("gone"), "left_anti")
+    out = classify(docs, labels, id_col, text_col, host_col, path_col, **kw)
+    gone = cut(out.where(~F.col("keep")).select(F.col("row").alias("gone")).distinct(), "rejected")
+    return only(docs, gone, "left_anti", own_key(id_col, text_col, host_col, path_col) == F.col("gone"))

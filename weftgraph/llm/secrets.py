@@ -22,8 +22,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
-from .quality import row_hash
+from .common import col, cut, row_key
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 KINDS = {  # fixed values: kind, pattern, least length of the value
@@ -55,9 +54,10 @@ def _parts(text, kind: str):
 
 def scan(docs: DataFrame, id_col: str, text_col: str, repo, owner) -> DataFrame:
     """(id, row, repo, owner, found) of every row: part lengths and hashes by kind, no text."""
-    text = F.translate(F.coalesce(F.col(text_col).cast("string"), F.lit("")), MARK, "\x02")
-    text = F.when(F.contains(F.col(text_col), F.lit(MARK)), text).otherwise(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-    base = docs.select(F.col(id_col).alias("id"), row_hash(docs).alias("row"), repo.alias("repo"), owner.alias("owner"), text.alias("text"))
+    plain = F.coalesce(col(text_col).cast("string"), F.lit(""))
+    text = F.when(F.contains(plain, F.lit(MARK)), F.translate(plain, MARK, "\x02")).otherwise(plain)
+    row = row_key(col(id_col), col(text_col), repo, owner)
+    base = docs.select(col(id_col).alias("id"), row.alias("row"), repo.alias("repo"), owner.alias("owner"), text.alias("text"))
     return base.select("id", "row", "repo", "owner", F.array_compact(F.array(*[_parts(F.col("text"), k) for k in KINDS])).alias("found"))
 
 
