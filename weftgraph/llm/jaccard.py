@@ -9,18 +9,26 @@ for each. Candidate pairs come from cells, so that no task sees the whole corpus
    known to all is exact; this one puts passages that many documents share last.
 2. Cells. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles. Every
    class is dealt to the cells of these; cells of one member, and cells with the same members
-   as another, drop out.
+   as another, drop out. A frequent shingle is dealt over many tasks and never gathered in one.
 3. Points. Hashing shingles into groups gives each class a point, its counts by group. The
-   overlap of two sets is at most the sum of the smaller coordinates. Per cell an R-tree over the
-   points bounds whole boxes (sum of min(box top, query)), then single points; pairs survive that can
-   reach t. First each cell's most connected member is tried against the others; the links make
-   components; then only members outside their leader's component search the cell's tree, and
-   only for members of other components. A cell beyond CELL_BLOCK members is dealt in blocks.
-4. Surviving pairs are verified on their sets. Links join in components; members of a class share
-   the class's component.
-
-Exact at every size: nothing is capped or sampled. Pairs within a component already found need
-no check, so a group of copies costs its size, not its square.
+   overlap of two sets is at most the sum of the smaller coordinates; an R-tree over points
+   bounds whole boxes (sum of min(box top, query)), then single points.
+4. First search, in blocks of CELL_BLOCK members of a cell, members in the order of their ids: each
+   searches the R-tree of the block's representatives. One that can reach a representative makes
+   a pair with the nearest (by the bound) and is absorbed; any other becomes a representative and
+   goes into the tree. The representatives of a cell of many blocks are searched again, as a smaller
+   cell, for as long as that halves them. Pairs are verified on their sets; the links make components.
+5. Second search, for what absorption may have hidden: in cells that absorbed a member or have many
+   blocks, and whose members are not all of one component, all members outside the cell's
+   largest component are searched in the trees of all its blocks, for members of other components.
+   A task holds one block and CELL_BLOCK of those who ask. Surviving pairs are verified on their sets.
+6. All links join in components; members of a class share the class's component.
+
+All links but those of exact copies are found by the R-trees. Nothing is capped or sampled: exact
+but for chance collisions of hashes (48 bits within two sets, 128 bits for classes). Pairs within a component
+already found need no check, so a group of near copies costs its size, not its square; what
+costs the square of a cell, in blocks, are members that cannot reach each other and share a shingle that is
+among the rarest fifth of both.
 
 Cases: null or empty text, or blanks only: no shingle, linked with nothing. Fewer than five words:
 the sequence is the one shingle. Null ids take no part in links (component null). Rows that share an id
@@ -38,17 +46,19 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, PARTS, components, cut, emit, slices, small_batches, summed
+from .common import BROADCAST_ROWS, PARTS, col, components, cut, emit, only, slices, small_batches, summed
 
 BUCKETS = 21  # bits of the sketch
-CELL_BLOCK, LEAF, FAN, COARSE = 2048, 16, 8, 64
+CELL_BLOCK, LEAF, FAN, COARSE, SALT_ROWS = 2048, 16, 8, 64, 65_536
 CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 class _Hashes(dict):
     def __missing__(self, word):
-        self[word] = v = xxhash.xxh64_intdigest(word)
+        v = xxhash.xxh64_intdigest(word)
+        if len(word) <= 64:  # longer ones are not kept
+            self[word] = v
         return v
 
 
@@ -170,15 +180,10 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             types = [pa.int64()] * 3 + [pa.binary()] * 2
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, types)]], names=["id", "n", "d0", "d1", "point", "set"])
 
-    picked = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    picked = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
     return picked.mapInArrow(run, "id long, n long, d0 long, d1 long, point binary, set binary")
 
 
-def _only(df: DataFrame, ids: DataFrame, how: str, col: str = "id") -> DataFrame:
-    """Semi or anti join with a table of ids; broadcast below BROADCAST_ROWS (16 MB)."""
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids, col, how)
-
-
 def frequency_classes(own: DataFrame) -> np.ndarray:
     """Class of each bucket of the sketch: 0, or its count where that stands out."""
 
@@ -196,114 +201,161 @@ def frequency_classes(own: DataFrame) -> np.ndarray:
 
 
 def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
-    """(token, id): the cells of every class."""
+    """(token, id, salt, hot): the cells of every class; a hot token is one of a frequent bucket, dealt
+    over a salt for each SALT_ROWS of its bucket."""
     held = own.sparkSession.sparkContext.broadcast(classes)  # fixed size: 8 MB
 
     def run(batches):
         cls = held.value
         for b in slices(batches):
-            tokens, ids = [], []
+            tokens, ids, often = [], [], []
             for i, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 s = unpack(x)
                 n = len(s)
                 p = n - -(-pct * n // 100) + 1
                 c = cls[s >> (48 - BUCKETS)]
-                got = s[:p] if not c.any() else s[np.lexsort((s, c))[:p]]
-                tokens.append(got)
-                ids.append(np.full(len(got), i, np.int64))
+                at = slice(p) if not c.any() else np.lexsort((s, c))[:p]
+                tokens.append(s[at])
+                often.append(c[at])
+                ids.append(np.full(len(tokens[-1]), i, np.int64))
             if tokens:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens)), pa.array(np.concatenate(ids))], names=["token", "id"])
+                i, c = np.concatenate(ids), np.concatenate(often).astype(np.int64)
+                salt = (i * 0x9E3779B1 >> 8) % (c // SALT_ROWS + 1)
+                arrays = [pa.array(np.concatenate(tokens)), pa.array(i), pa.array(salt.astype(np.int32)), pa.array(c > 0)]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "id", "salt", "hot"])
 
-    return own.select("id", "set").mapInArrow(run, "token long, id long")
+    return own.select("id", "set").mapInArrow(run, "token long, id long, salt int, hot boolean")
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """The rows of tokens that more than one id has; rows are dealt and sorted, then streamed."""
+    """(token, id, hot) without the tokens, hot ones aside, that one id has; rows are dealt and sorted,
+    then streamed."""
 
     def run(batches):
         left = None
         for b in batches:
-            t, i = b.column(0).to_numpy(), b.column(1).to_numpy()
+            t, i, h = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
             if left is not None:
-                t, i = np.concatenate([left[0], t]), np.concatenate([left[1], i])
+                t, i, h = (np.concatenate([x, y]) for x, y in zip(left[0], (t, i, h)))
             if not len(t):
                 continue
             same = t[1:] == t[:-1]
-            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+            keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | h
             # the last row waits for the next batch; one before it with the same token is known to stay
-            first = bool(left is not None and left[2])
-            keep[0] |= first
-            yield pa.RecordBatch.from_arrays([pa.array(t[:-1][keep[:-1]]), pa.array(i[:-1][keep[:-1]])], names=["token", "id"])
-            left = (t[-1:], i[-1:], keep[-1])
-        if left is not None and left[2]:
-            yield pa.RecordBatch.from_arrays([pa.array(left[0]), pa.array(left[1])], names=["token", "id"])
+            keep[0] |= bool(left is not None and left[1])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (t, i, h)], names=["token", "id", "hot"])
+            left = (t[-1:], i[-1:], h[-1:]), keep[-1]
+        if left is not None and left[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in left[0]], names=["token", "id", "hot"])
+
+    dealt_out = rows.repartition("token", "salt").sortWithinPartitions("token", "id").select("token", "id", "hot")
+    return dealt_out.mapInArrow(run, "token long, id long, hot boolean")
+
+
+def with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """rows(token, hot, ...) joined with one row for each cell (token, ...). Hot cells, few, are
+    broadcast, so that no hot token is gathered, unless there are more than BROADCAST_ROWS of them."""
+    hot = rows.where("hot").select("token").distinct()
+    hot = cut(cells.join(hot, "token", "left_semi"), "hot-cells")
+    few = hot.count() <= BROADCAST_ROWS
+    return rows.where("not hot").join(cells, "token").unionByName(rows.where("hot").join(F.broadcast(hot) if few else hot, "token"))
+
+
+def _units(batches, key: tuple[str, ...], names: tuple[str, ...]):
+    """(key, columns) of each run of rows with one key."""
+    part, at = [], None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in key)))
+        for k, row in zip(keys, zip(*(b.column(c).to_pylist() for c in names))):
+            if k != at:
+                if part:
+                    yield at, list(zip(*part))
+                part, at = [], k
+            part.append(row)
+    if part:
+        yield at, list(zip(*part))
+
+
+def _points(packed) -> tuple[np.ndarray, np.ndarray]:
+    """Points of one width, and the coarse ones of the tree."""
+    g = 2 * min(map(len, packed))
+    fine = np.array([fold(counts(p), g) for p in packed])
+    return fine, fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int32)
+
+
+class Representatives:
+    """Points that cannot reach each other: an R-tree of the older ones, built anew each time their
+    number doubles, and a leaf of the younger ones."""
+
+    def __init__(self, coarse: np.ndarray, sizes: np.ndarray, pct: int):
+        self.coarse, self.sizes, self.pct = coarse, sizes, pct
+        self.at, self.tree, self.treed = np.empty(0, np.int64), None, 0
+
+    def reached(self, q: int) -> np.ndarray:
+        """Those that the tree's bounds leave for q."""
+        young = self.at[self.treed :]
+        young = young[reaches(self.coarse[young], self.sizes[young], self.coarse[q], int(self.sizes[q]), self.pct)] if len(young) else young
+        if self.tree is None:
+            return young
+        return np.concatenate([self.at[self.tree.search(self.coarse[q], int(self.sizes[q]), self.pct)], young])
+
+    def add(self, q: int) -> None:
+        self.at = np.append(self.at, q)
+        if len(self.at) - self.treed > max(2 * LEAF, self.treed):
+            self.treed = len(self.at)
+            self.tree = RTree(self.coarse[self.at], self.sizes[self.at])
+
+
+def absorbed(rows: DataFrame, pct: int) -> DataFrame:
+    """(token, hot, id, rep) of rows (token, hot, block, many, id, n, point): the pairs of the first
+    search and, of cells of many blocks, each representative with itself."""
 
-    return rows.repartition("token").sortWithinPartitions("token", "id").mapInArrow(run, "token long, id long")
+    def run(batches):
+        for (token, hot, _), (many, ids, n, packed) in _units(batches, ("token", "hot", "block"), ("many", "id", "n", "point")):
+            ids, n = np.array(ids), np.array(n)
+            fine, coarse = _points(packed)
+            reps, out = Representatives(coarse, n, pct), []
+            for q in np.argsort(ids, kind="stable"):
+                at = reps.reached(q)
+                if len(at):
+                    both = np.minimum(n[q] - np.maximum(fine[q] - fine[at], 0).sum(1), n[at] - np.maximum(fine[at] - fine[q], 0).sum(1))
+                    both = both / (n[at] + n[q])
+                    k = int(np.argmax(both))
+                    if (100 + pct) * both[k] >= pct - 1e-9:
+                        out.append((int(ids[q]), int(ids[at[k]])))
+                        continue
+                reps.add(q)
+            if many[0]:
+                out += [(int(ids[q]), int(ids[q])) for q in reps.at]
+            if out:
+                arrays = [pa.array([token] * len(out), pa.int64()), pa.array([hot] * len(out)), *(pa.array(c, pa.int64()) for c in zip(*out))]
+                yield pa.RecordBatch.from_arrays(arrays, names=["token", "hot", "id", "rep"])
+
+    rows = rows.select("token", "hot", "block", "many", "id", "n", "point").repartition("token", "block").sortWithinPartitions("token", "block", "id")
+    return rows.mapInArrow(run, "token long, hot boolean, id long, rep long")
 
 
 def cell_search(rows: DataFrame, pct: int) -> DataFrame:
-    """(a, b) of rows (cell, block, id, n, point, comp, asks): members that ask are searched in
-    the tree of the members of their block (`held`), pairs of one component left out."""
-
-    def pairs(ids, n, pts, comp, asks, held):
-        g = 2 * min(len(p) for p in pts)
-        fine = np.array([fold(counts(p), g) for p in pts])
-        v = fine.reshape(len(fine), -1, COARSE).sum(1, dtype=np.int32)
-        own = np.flatnonzero(held)
-        tree = RTree(v[own], n[own])
-        for q in np.flatnonzero(asks):
-            at = own[tree.search(v[q], int(n[q]), pct)]
-            at = at[(comp[at] != comp[q]) & ~(asks[at] & (ids[at] >= ids[q]))]
-            at = at[reaches(fine[at], n[at], fine[q], int(n[q]), pct)] if len(at) else at
-            for x in at:
-                yield (int(ids[x]), int(ids[q])) if ids[x] < ids[q] else (int(ids[q]), int(ids[x]))
+    """(a, b) of rows (token, block, turn, id, n, point, comp, asks, held): members that ask are searched in
+    the tree of the members that are held, pairs of one component left out."""
 
     def run(batches):
-        part, key = [], None
-
-        def flush():
-            if len(part) < 2:
-                return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 2, names=["a", "b"])
-            cols = list(zip(*part))
-            arrays = [np.array(cols[0]), np.array(cols[1]), cols[2], np.array(cols[3]), np.array(cols[4]), np.array(cols[5])]
-            got = list(pairs(*arrays))
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], names=["a", "b"])
-
-        for b in batches:
-            cols = [b.column(c).to_pylist() for c in ("cell", "block", "id", "n", "point", "comp", "asks", "held")]
-            for cell, block, *row in zip(*cols):
-                if key != (cell, block):
-                    if part:
-                        yield flush()
-                    part, key = [], (cell, block)
-                part.append(row)
-        if part:
-            yield flush()
-
-    rows = rows.repartition("cell", "block").sortWithinPartitions("cell", "block", "id")
+        for _, (ids, n, packed, comp, asks, held) in _units(batches, ("token", "block", "turn"), ("id", "n", "point", "comp", "asks", "held")):
+            ids, n, comp, asks = np.array(ids), np.array(n), np.array(comp), np.array(asks)
+            fine, coarse = _points(packed)
+            own, out = np.flatnonzero(held), set()
+            tree = RTree(coarse[own], n[own])
+            for q in np.flatnonzero(asks):
+                at = own[tree.search(coarse[q], int(n[q]), pct)]
+                at = at[comp[at] != comp[q]]
+                at = at[reaches(fine[at], n[at], fine[q], int(n[q]), pct)] if len(at) else at
+                out.update((min(int(ids[q]), int(ids[x])), max(int(ids[q]), int(ids[x]))) for x in at)
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*sorted(out)) if out else ([], []))], names=["a", "b"])
+
+    rows = rows.repartition("token", "block", "turn").sortWithinPartitions("token", "block", "turn", "id")
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def bounded(pairs: DataFrame, points: DataFrame, pct: int) -> DataFrame:
-    """The pairs whose points can reach pct per cent."""
-
-    def run(batches):
-        for b in slices(batches):
-            out = [[], []]
-            for i, j, n, m, x, y in zip(*(b.column(c).to_pylist() for c in ("a", "b", "na", "nb", "x", "y"))):
-                g = 2 * min(len(x), len(y))
-                x, y = (fold(counts(p), g) for p in (x, y))
-                if reaches(y[None], np.array([m]), x, n, pct)[0]:
-                    out[0].append(i)
-                    out[1].append(j)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b"])
-
-    both = pairs.join(points.select(F.col("id").alias("a"), F.col("n").alias("na"), F.col("point").alias("x")), "a")
-    both = both.join(points.select(F.col("id").alias("b"), F.col("n").alias("nb"), F.col("point").alias("y")), "b")
-    both = both.where(100 * F.least("na", "nb") >= pct * F.greatest("na", "nb"))
-    return both.select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
-
-
 def verified(pairs: DataFrame, own: DataFrame, pct: int) -> DataFrame:
     """(a, b, overlap) of the pairs whose sets reach pct per cent."""
 
@@ -322,40 +374,56 @@ def verified(pairs: DataFrame, own: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], names=["a", "b", "overlap"])
 
     ids = cut(pairs.select(F.col("a").alias("id")).union(pairs.select(F.col("b").alias("id"))).distinct(), "involved")
-    sets = _only(own.select("id", "set"), ids, "left_semi")
+    sets = only(own.select("id", "set"), ids, "left_semi", "id")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
     return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, overlap long")
 
 
+def _block(id_col: str, c):
+    """Block of a member of a cell of c members, and whether there are others."""
+    blocks = F.ceil(c / CELL_BLOCK).cast("int")
+    return F.pmod(F.xxhash64(id_col), blocks).cast("int").alias("block"), (blocks > 1).alias("many")
+
+
 def links(own: DataFrame, pct: int = 80) -> DataFrame:
     """(a, b, overlap): verified links that connect the same classes as all links do.
     own: (id, n, point, set), one row for each class."""
     cells = cut(shared(dealt(own, frequency_classes(own), pct)), "cells")
-    about = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2"))
-    kept = about.groupBy("c", "low", "x", "x2").agg(F.min("token").alias("token")).select("token", "c")
-    cells = cut(cells.join(cut(kept, "kept"), "token"), "members")
-    often = cut(cells.groupBy("id").agg(F.count("*").alias("often")), "often")
-    lead = cells.join(often, "id").groupBy("token").agg(F.max(F.struct("often", (-F.col("id")).alias("neg"))).alias("m"))
-    lead = cut(lead.select("token", (-F.col("m.neg")).alias("leader")), "leaders")
-    points = cut(_only(own.select("id", "n", "point"), often.select("id"), "left_semi"), "points")
-    # first the leaders
-    first = cells.join(lead, "token").where("id <> leader").select(F.least("id", "leader").alias("a"), F.greatest("id", "leader").alias("b")).distinct()
-    first = cut(bounded(first, points, pct), "leader-pairs")
-    found = cut(verified(first, own, pct), "leader-links")
+    about = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")).where("c > 1")
+    kept = cut(about.groupBy("c", "low", "x", "x2").agg(F.min("token").alias("token")).select("token", "c"), "kept")
+    members = cut(with_cells(cells, kept), "members")  # (token, id, hot, c)
+    points = cut(only(own.select("id", "n", "point"), cut(members.select("id").distinct(), "listed"), "left_semi", "id"), "points")
+    level, found, first = members, None, None
+    while True:
+        out = cut(absorbed(level.select("token", "hot", "id", *_block("id", F.col("c"))).join(points, "id"), pct), "absorbed")
+        first = out if first is None else first
+        pairs = out.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
+        got = cut(verified(pairs, own, pct), "tree-links")
+        found = got if found is None else found.union(got)
+        again = out.where("id = rep").select("token", "hot", "id")
+        fewer = again.groupBy("token").agg(F.count("*").alias("d"))
+        fewer = cut(with_cells(level.select("token", "hot", "c").distinct(), fewer).where("2 * d <= c and d > 1").select("token", F.col("d").alias("c")), "fewer")
+        if not fewer.limit(1).count():
+            break
+        level = cut(with_cells(again, fewer), "representatives")
+    # what absorption may have hidden
     comp = cut(components(found), "comp")
-    # then the members outside their leader's component
-    named = cells.join(comp, "id", "left").select("token", "c", "id", F.coalesce("comp", "id").alias("comp"))
-    led = lead.join(comp.select(F.col("id").alias("leader"), F.col("comp").alias("lcomp")), "leader", "left").select("token", F.coalesce("lcomp", "leader").alias("lcomp"))
-    named = cut(named.join(led, "token").withColumn("asks", F.col("comp") != F.col("lcomp")), "named")
-    blocks = F.ceil(F.col("c") / CELL_BLOCK).cast("int")
-    own_block = F.pmod(F.xxhash64("id"), blocks).cast("int")
-    open_cells = named.where("asks").select("token").distinct()
-    rows = named.join(open_cells, "token", "left_semi").withColumn("own", own_block)
-    rows = rows.withColumn("block", F.explode(F.when(F.col("asks"), F.sequence(F.lit(0), blocks - 1)).otherwise(F.array("own"))))
-    rows = rows.join(points, "id").select(F.col("token").alias("cell"), "block", "id", "n", "point", "comp", "asks", (F.col("block") == F.col("own")).alias("held"))
-    second = cut(cell_search(rows, pct), "tree-pairs")
-    return found.union(cut(verified(second, own, pct), "tree-links"))
+    open_ = cut(first.select("token").distinct(), "open")
+    named = members.join(open_, "token", "left_semi").join(comp, "id", "left").select("token", "hot", "c", "id", F.coalesce("comp", "id").alias("comp"))
+    named = cut(named, "named")
+    by = named.groupBy("token", "comp").agg(F.count("*").alias("n"))
+    home = by.groupBy("token").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("c")).select("token", F.col("m.comp").alias("home"), (F.col("c") - F.col("m.n")).alias("asking"))
+    named = cut(with_cells(named, cut(home.where("asking > 0"), "home")).withColumn("asks", F.col("comp") != F.col("home")), "asked")
+    block, many = _block("id", F.col("c"))
+    turns = F.ceil(F.col("asking") / CELL_BLOCK).cast("int")
+    named = named.select("*", block, many, F.ceil(F.col("c") / CELL_BLOCK).cast("int").alias("blocks"), turns.alias("turns"))
+    one = named.where("blocks = 1 and turns = 1").select("token", "block", F.lit(0).alias("turn"), "id", "comp", "asks", F.lit(True).alias("held"))
+    more = named.where("blocks > 1 or turns > 1")
+    held = more.select("token", "block", F.explode(F.sequence(F.lit(0), F.col("turns") - 1)).alias("turn"), "id", "comp", F.lit(False).alias("asks"), F.lit(True).alias("held"))
+    asks = more.where("asks").select("token", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.pmod(F.xxhash64(F.lit(3), "id"), "turns").cast("int").alias("turn"), "id", "comp", F.lit(True).alias("asks"), F.lit(False).alias("held"))
+    second = cut(cell_search(one.union(held).union(asks).join(points, "id"), pct), "second-pairs")
+    return found.union(cut(verified(second, own, pct), "second-links"))
 
 
 def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80) -> DataFrame:
@@ -368,7 +436,7 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: i
     named = full.join(reps, ["d0", "d1"]).select("id", "n", "rep")
     copies = cut(named.where("id <> rep").select("id").distinct(), "copies")
     named = cut(named, "named")
-    own = _only(sets.where("id is not null and n > 0").select("id", "n", "point", "set"), copies, "left_anti")
+    own = only(sets.where("id is not null and n > 0").select("id", "n", "point", "set"), copies, "left_anti", "id")
     comp = cut(components(links(own, pct)), "components")
     out = named.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
     out = out.select("id", F.col("n").alias("n_shingles"), F.col("rep").alias("class_id"), F.coalesce("comp", "rep").alias("component_id"))
@@ -379,5 +447,5 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: i
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: int = 80) -> DataFrame:
     """docs with one document of each component, that of the smallest id; docs' own columns.
     Rows that repeat an id stay together."""
-    gone = cut(join(docs, id_col, text_col, pct).where(F.col(id_col) != F.col("component_id")).select(F.col(id_col)).distinct(), "near-copies")
-    return _only(docs, gone, "left_anti", id_col)
+    gone = cut(join(docs, id_col, text_col, pct).where(col(id_col) != F.col("component_id")).select(col(id_col).alias("gone")).distinct(), "near-copies")
+    return only(docs, gone, "left_anti", col(id_col).cast("long") == F.col("gone"))
