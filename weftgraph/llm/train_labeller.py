@@ -10,7 +10,7 @@ import random
 
 import numpy as np
 
-from .html import HIDDEN, INNER, PATHS, SHAPE, WORDS, Labeller, blocks, bucket
+from .html import HIDDEN, INNER, PATHS, SHAPE, WORDS, Labeller, blocks, bucket, path
 
 # Class names in common use on the web.
 ROLES = {
@@ -227,10 +227,10 @@ def train(pages, epochs: int = 8, batch: int = 48, rate: float = 0.01, seed: int
     model = Labeller(w)
     ready = []
     for leaves, y in pages:
-        paths, words, shape = model.features(leaves)
+        words, shape = model.features(leaves)
         hot = np.zeros((len(leaves), PATHS))
-        for k, p in enumerate(paths):
-            hot[k, [bucket(t, PATHS) for t in set(p)]] += 1
+        for k, (e, _, _) in enumerate(leaves):
+            hot[k, [bucket(t, PATHS) for t in path(e)]] += 1
         ready.append((hot, words, shape, y))
     m = {k: np.zeros_like(v) for k, v in w.items()}
     v = {k: np.zeros_like(x) for k, x in w.items()}
