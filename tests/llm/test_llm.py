@@ -75,11 +75,49 @@ def test_html_blocks():
     page = "<body><nav><ul><li><a href=x>Home<li><a>About</a></ul></nav><!-- <p>no</p> --><script>var a='<p>';</script><p>One &amp; <b>two<br>three<p>Four&nbsp;five</body>"
     got = html.blocks(page)
     assert [t for _, t, _ in got] == ["Home", "About", "One & two three", "Four five"]
-    assert got[0][2] == 4 and got[2][2] == 0 and "nav" in got[0][0]
+    assert got[0][2] == 4 and got[2][2] == 0 and "nav" in html.path(got[0][0])
     assert html.blocks(None) == [] and html.blocks("") == [] and html.blocks("<p></p>") == []
     assert [t for _, t, _ in html.blocks("bare text")] == ["bare text"]
 
 
+def test_blocks_of_drawn_pages():
+    """Pages drawn as trees, with the path and text of every block known."""
+    r = random.Random(31)
+    deep, inline = ["div", "section", "article", "ul", "figure", "blockquote", "main"], ["b", "a", "span", "em"]
+
+    def draw(path, depth):
+        out, want = "", []
+        for _ in range(r.randint(1, 3)):
+            if depth and r.random() < 0.6:
+                tag = r.choice(deep)
+                name = r.choice(["", "menu", "mainText", "ad-box"])
+                inner, got = draw(path | {tag} | {"." + p.lower() for p in re.findall("[A-Z]?[a-z]+", name)}, depth - 1)
+                out += f'<{tag}{r.choice([" class=", " id="])}"{name}" title="a > b">{inner}</{tag}>'
+                want += got
+            else:
+                words_ = [f"w{r.randrange(99)}" for _ in range(r.randint(1, 5))]
+                tag = r.choice(inline)
+                out += "<hr>" + r.choice([" ", "<!-- <p>no</p> -->"]) + f"<{tag}>{words_[0]}</{tag}> " + r.choice(["\n", " &nbsp;", "<br>"]).join(words_[1:]) + "<script>if (a<b) '</p>'</script><hr>"
+                want.append((path, " ".join(words_)))
+        return out, want
+
+    for _ in range(200):
+        page, want = draw(set(), 5)
+        assert [(html.path(e), t) for e, t, _ in html.blocks(page)] == want
+
+
+def test_broken_pages_are_linear():
+    import time
+
+    t = time.time()
+    model, n = html.Labeller.load(), 20_000
+    for page, many in (("<p " * 10 * n, 0), ("<div>x" * n, n), ("<ul><li><ul>" * n + "<li>y" * n, n), ('<p a="x' * 10 * n, 0), ("<a><button>z" * n + "</label>" * n, 1),
+                       ("<!-- " * 10 * n, 0), ("&#" + "9" * n + ";" + "&" * n, 1), ("<p \"'>q" * n, n), ("<svg/><title>no<p></title>x" + "<" * n, 1)):
+        got = html.blocks(page)
+        assert len(got) == many and [len(s) for s in model.scores([got, []])] == [many, 0]
+    assert time.time() - t < 60
+
+
 def test_html_extraction(spark):
     body = [f"This is paragraph number {i}, which says a thing or two, and then it ends." for i in range(6)]
     article = "<h1>A title of it</h1>" + "".join(f"<p>{html_lib.escape(b)}</p>" for b in body)
@@ -282,6 +320,23 @@ def test_neighbours(spark):
     assert [i for i, _ in got[300]][:10] == list(range(301, 311)) and [i for i, _ in got[400]][:10] == list(range(300, 310))
 
 
+def test_neighbours_without_structure_in_blocks(spark, monkeypatch):
+    """Vectors alike in all directions, lists of many blocks, many turns of queries, vectors of two lengths."""
+    monkeypatch.setattr(neighbours, "BLOCK", 8)
+    monkeypatch.setattr(neighbours, "QUERY_BLOCK", 2)
+    x = np.random.default_rng(16).standard_normal((600, 32))
+    rows = [(i, v.tolist(), "x") for i, v in enumerate(x)] + [(1000 + i, v[:3].tolist(), "x") for i, v in enumerate(x[:40])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, list string")
+    got = sorted(map(tuple, neighbours.search(df, df.where("vec_id % 20 = 0"), k=5).collect()))
+    hit = 0
+    for ids, y in ((range(600), x), (range(1000, 1040), x[:40, :3])):
+        for q in range(ids[0], ids[-1] + 1, 20):
+            d = np.sqrt(((y - y[q - ids[0]]) ** 2).sum(1))
+            o = [ids[0] + i for i in np.argsort(d, kind="stable") if ids[0] + i != q][:5]
+            hit += len({r[2] for r in got if r[0] == q} & set(o))
+    assert len(got) == 32 * 5 and hit / len(got) >= 0.9
+
+
 def test_neighbours_of_few(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
     got = sorted(map(tuple, neighbours.search(df, df.where("vec_id = 0")).collect()))
