@@ -115,28 +115,32 @@ def emit(m: np.ndarray):
 
 
 def summed(parts: DataFrame, rows: int, cols: int) -> np.ndarray:
-    """Sum of (block, part, data) arrays of float64, each block a stretch of a rows x cols array."""
+    """Sum of (block, part, data) arrays of float64, each block a stretch of a rows x cols array: first
+    those of SALT tasks, then of SALT * SALT, then all."""
 
     def add(batches):
         key, total = None, None
+
+        def out():
+            arrays = [pa.array([key[0]], pa.int64()), pa.array([key[1]], pa.int64()), pa.array([total.tobytes()], pa.binary())]
+            return pa.RecordBatch.from_arrays(arrays, names=["block", "part", "data"])
+
         for b in batches:
-            for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for *k, x in zip(*(b.column(i).to_pylist() for i in range(3))):
                 x = np.frombuffer(x, np.float64)
                 if k == key:
                     total = total + x
                     continue
                 if key is not None:
-                    yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
+                    yield out()
                 key, total = k, x
         if key is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([total.tobytes()], pa.binary())], names=["block", "data"])
-
-    def level(df, key):
-        df = df.select(key.alias("block"), "data").repartition("block").sortWithinPartitions("block")
-        return df.mapInArrow(add, "block long, data binary")
+            yield out()
 
-    spread = level(parts, F.col("block") * SALT + F.pmod(F.col("part"), F.lit(SALT)))
-    got = level(spread, F.floor(F.col("block") / SALT).cast("long")).toArrow()  # rows x cols numbers in all
+    for _ in range(3):
+        parts = parts.select("block", F.floor(F.col("part") / SALT).cast("long").alias("part"), "data")
+        parts = parts.repartition("block", "part").sortWithinPartitions("block", "part").mapInArrow(add, PARTS)
+    got = parts.toArrow()  # rows x cols numbers for each SALT ** 3 tasks
     out = np.zeros(rows * cols)
     step = _step(cols) * cols
     for k, x in zip(got["block"].to_pylist(), got["data"].to_pylist()):
