@@ -8,7 +8,8 @@ for each. Candidate pairs come from cells, so that no task sees the whole corpus
    the mean hold frequent shingles. Shingles are ordered by (frequency class, hash). Any order
    known to all is exact; this one puts passages that many documents share last.
 2. Cells. Two sets with Jaccard >= t share one of their first n - ceil(t n) + 1 shingles. Every
-   class is dealt to the cells of these; cells of one member, and cells with the same members
+   class is dealt to the cells of these, in the order of their sizes; a cell is parted where a
+   size is too small for the next one. Cells of one member, and cells with the same members
    as another, drop out. A frequent shingle is dealt over many tasks and never gathered in one.
 3. Points. Hashing shingles into groups gives each class a point, its counts by group. The
    overlap of two sets is at most the sum of the smaller coordinates; an R-tree over points
@@ -50,6 +51,7 @@ from .common import BROADCAST_ROWS, PARTS, col, components, cut, emit, only, sli
 
 BUCKETS = 21  # bits of the sketch
 CELL_BLOCK, LEAF, FAN, COARSE, SALT_ROWS = 2048, 16, 8, 64, 65_536
+BAND, BAND_BITS = 1.02, 10  # ratio of sizes in one band, bits of a band's number
 CACHE_WORDS = 150_000
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -201,8 +203,8 @@ def frequency_classes(own: DataFrame) -> np.ndarray:
 
 
 def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
-    """(token, id, salt, hot): the cells of every class; a hot token is one of a frequent bucket, dealt
-    over a salt for each SALT_ROWS of its bucket."""
+    """(token, id, salt, hot): the cells of every class, with the band of its size in the last bits of token;
+    a hot token is one of a frequent bucket, dealt over a salt for each SALT_ROWS of its bucket."""
     held = own.sparkSession.sparkContext.broadcast(classes)  # fixed size: 8 MB
 
     def run(batches):
@@ -215,7 +217,7 @@ def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
                 p = n - -(-pct * n // 100) + 1
                 c = cls[s >> (48 - BUCKETS)]
                 at = slice(p) if not c.any() else np.lexsort((s, c))[:p]
-                tokens.append(s[at])
+                tokens.append(s[at] << BAND_BITS | min(int(math.log(n) / math.log(BAND)), (1 << BAND_BITS) - 1))
                 often.append(c[at])
                 ids.append(np.full(len(tokens[-1]), i, np.int64))
             if tokens:
@@ -227,28 +229,33 @@ def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
     return own.select("id", "set").mapInArrow(run, "token long, id long, salt int, hot boolean")
 
 
-def shared(rows: DataFrame) -> DataFrame:
-    """(token, id, hot) without the tokens, hot ones aside, that one id has; rows are dealt and sorted,
-    then streamed."""
+def shared(rows: DataFrame, pct: int) -> DataFrame:
+    """(token, id, hot) of rows of dealt(): parts of cells whose sizes allow links, hot cells whole; a part has
+    the first band in its token. What one id has to itself is left out, hot tokens aside. Rows are dealt and
+    sorted, then streamed."""
+    gap, last = math.ceil(math.log(100 / pct) / math.log(BAND)), (1 << BAND_BITS) - 1
 
     def run(batches):
         left = None
         for b in batches:
             t, i, h = (b.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            name = np.where(h, t | last, t)
             if left is not None:
-                t, i, h = (np.concatenate([x, y]) for x, y in zip(left[0], (t, i, h)))
+                t, i, h, name = (np.concatenate([x, y]) for x, y in zip(left[0], (t, i, h, name)))
             if not len(t):
                 continue
-            same = t[1:] == t[:-1]
+            same = (t[1:] >> BAND_BITS == t[:-1] >> BAND_BITS) & (t[1:] - t[:-1] <= gap)
             keep = np.concatenate([[False], same]) | np.concatenate([same, [False]]) | h
-            # the last row waits for the next batch; one before it with the same token is known to stay
+            # the last row waits for the next batch; one before it that it goes with is known to stay
             keep[0] |= bool(left is not None and left[1])
-            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (t, i, h)], names=["token", "id", "hot"])
-            left = (t[-1:], i[-1:], h[-1:]), keep[-1]
+            start = np.concatenate([[True], ~same])
+            name = np.where(h, name, name[np.flatnonzero(start)[np.cumsum(start) - 1]])
+            yield pa.RecordBatch.from_arrays([pa.array(x[:-1][keep[:-1]]) for x in (name, i, h)], names=["token", "id", "hot"])
+            left = (t[-1:], i[-1:], h[-1:], name[-1:]), keep[-1]
         if left is not None and left[1]:
-            yield pa.RecordBatch.from_arrays([pa.array(x) for x in left[0]], names=["token", "id", "hot"])
+            yield pa.RecordBatch.from_arrays([pa.array(left[0][k]) for k in (3, 1, 2)], names=["token", "id", "hot"])
 
-    dealt_out = rows.repartition("token", "salt").sortWithinPartitions("token", "id").select("token", "id", "hot")
+    dealt_out = rows.repartition(F.shiftright("token", BAND_BITS), "salt").sortWithinPartitions("token", "id").select("token", "id", "hot")
     return dealt_out.mapInArrow(run, "token long, id long, hot boolean")
 
 
@@ -389,7 +396,7 @@ def _block(id_col: str, c):
 def links(own: DataFrame, pct: int = 80) -> DataFrame:
     """(a, b, overlap): verified links that connect the same classes as all links do.
     own: (id, n, point, set), one row for each class."""
-    cells = cut(shared(dealt(own, frequency_classes(own), pct)), "cells")
+    cells = cut(shared(dealt(own, frequency_classes(own), pct), pct), "cells")
     about = cells.groupBy("token").agg(F.count("*").alias("c"), F.min("id").alias("low"), F.bit_xor(F.xxhash64("id")).alias("x"), F.bit_xor(F.xxhash64(F.lit(1), "id")).alias("x2")).where("c > 1")
     kept = cut(about.groupBy("c", "low", "x", "x2").agg(F.min("token").alias("token")).select("token", "c"), "kept")
     members = cut(with_cells(cells, kept), "members")  # (token, id, hot, c)
