@@ -189,6 +189,45 @@ def test_pregel_halts(spark, social):
     assert got.where("value > 1").count() > 0
 
 
+def test_ties(spark, h1):
+    start = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1)], "id long, part int")
+    for tie in ("random", "any", "min"):
+        out, history = lp.run(h1, lp.Settings(k=2, tie=tie, max_iterations=2), start)
+        assert out.where("part is null").count() == 0 and len(history) <= 2
+
+
+def test_job_survives_failed_tasks(spark, social):
+    """A task that dies is run again and the labels are the same: nothing depends on the attempt."""
+    from pyspark import TaskContext
+
+    first = lp.init_random(social.V, lp.Settings(k=4))
+
+    def fail_once(batches):
+        import os
+        import tempfile
+
+        mark = os.path.join(tempfile.gettempdir(), f"weft-failed-{os.getppid()}-{TaskContext.get().partitionId()}")
+        for b in batches:
+            if not os.path.exists(mark):
+                open(mark, "w").close()
+                raise RuntimeError("lost")
+            yield b
+
+    broken = first.mapInArrow(fail_once, first.schema)
+    if spark.sparkContext.master.startswith("local[") and "," not in spark.sparkContext.master:
+        with pytest.raises(Exception, match="lost"):  # a local master runs a task once: the second job is the retry
+            broken.collect()
+        while True:
+            try:
+                got = rows(broken, "id", "part")
+                break
+            except Exception as e:
+                assert "lost" in str(e)
+    else:
+        got = rows(broken, "id", "part")
+    assert got == rows(first, "id", "part")
+
+
 def test_placement(spark, social):
     p = placement.by_hash(social.V, 3)
     assert p.rdd.getNumPartitions() == 3 and p.where("part < 0").count() == 0
@@ -213,5 +252,5 @@ def test_queries_equal_sql(spark):
         one = lambda x: None if x is None or (isinstance(x, float) and math.isnan(x)) else round(float(x), 6) if isinstance(x, float) else x
         return sorted((tuple(map(one, r)) for r in frame.astype(object).values.tolist()), key=repr)
 
-    for name in ("q_summary", "q_jsd", "q_klu", "lp_migrate", "lp_first_migration", "lp_score_vertex", "sample_gd", "cc_cutoff", "pagerank", "deadlock_free", "sssp"):
+    for name in ("q_summary", "q_jsd", "q_klu", "lp_migrate", "lp_first_migration", "lp_score_vertex", "nominate_gd", "cc_cutoff", "rwr", "deadlock_free", "sssp", "connected_components", "checkpoint_recurrence", "mutate_counts", "triangle_closing"):
         assert norm(QUERIES[name](spark, SF).toPandas()) == norm(con.execute(ORACLES[name]).df()), name

@@ -1,4 +1,4 @@
-"""Queries that run to their operators' own end, against brute force; they have no SQL form."""
+"""Queries that run to their operators' own end, against brute force."""
 
 import hashlib
 import heapq
@@ -35,7 +35,7 @@ def test_shortest_paths_reach_the_fixpoint(spark, path_dir):
             dist[v] = x
             for t, w in out[v]:
                 heapq.heappush(heap, (x + w, t))
-    got = values(q.QUERIES["sssp_full"](spark, d))
+    got = values(q.QUERIES["sssp"](spark, d))
     assert got == {v: dist.get(v) for pair in pairs for v in pair} and got[101] is None
 
 
@@ -58,7 +58,7 @@ def walk(pairs, sources=None, steps=30, eps=1e-5):
 
 def test_walks_run_to_their_own_end(spark, path_dir):
     d, pairs = path_dir
-    for name, sources in (("pagerank_full", None), ("rwr_full", {50, 100})):
+    for name, sources in (("pagerank", None), ("rwr", {50, 100})):
         want, steps = walk(pairs, sources)
         assert steps > 4 and values(q.QUERIES[name](spark, d)) == pytest.approx(want, abs=2e-9)
     ids, deg = {v for x in pairs for v in x}, Counter(s for s, _ in pairs)
@@ -68,18 +68,19 @@ def test_walks_run_to_their_own_end(spark, path_dir):
         for s, t in pairs:
             new[t] += 0.85 * r[s] / deg[s]
         r = new
-    assert values(q.QUERIES["pagerank_simple_full"](spark, d)) == pytest.approx(r, abs=2e-9)
+    assert values(q.QUERIES["pagerank_simple"](spark, d)) == pytest.approx(r, abs=2e-9)
 
 
 def test_recurrence_takes_all_steps(spark, path_dir):
     d, pairs = path_dir
-    val = {v: sum(s == v for s, _ in pairs) for x in pairs for v in x}
-    for i in range(6):
-        got = defaultdict(list)
-        for s, t in pairs:
-            got[t].append(val[s])
-        val = {v: x + i + (sum(got[v]) // len(got[v]) if got[v] else 0) for v, x in val.items()}
-    assert values(q.QUERIES["checkpoint_recurrence_full"](spark, d)) == val
+    val, edge = {v: sum(s == v for s, _ in pairs) for x in pairs for v in x}, {x: 1.0 for x in pairs}
+    for i in range(7):
+        got = Counter()
+        for (_, t), w in edge.items() if i else ():
+            got[t] += w
+        edge = {(s, t): w + val[s] for (s, t), w in edge.items()}
+        val = {v: x + int(got[v]) for v, x in val.items()}
+    assert values(q.QUERIES["checkpoint_recurrence"](spark, d)) == val
 
 
 @pytest.mark.parametrize("mode", ["edge", "vertex"])
@@ -123,7 +124,8 @@ def brute_sample(g, kind, k, beta, sigma, tau, seed):
         if size >= want and not empty:
             return part
         if size >= want:
-            part = {i: empty[int(u(f"{10 + r}n", i) * len(empty))] if u(f"{10 + r}m", i) < len(empty) / k else p for i, p in part.items()}
+            sizes = Counter(part.values())
+            part = {i: empty[int(u(f"{10 + r}n", i) * len(empty))] if u(f"{10 + r}m", i) < 1 - size / k / sizes[p] else p for i, p in part.items()}
             continue
         times = Counter()
         for s in front:
@@ -140,7 +142,7 @@ def brute_sample(g, kind, k, beta, sigma, tau, seed):
 @pytest.mark.parametrize("kind", ["RD", "HD", "CC", "GD"])
 def test_samples_are_finished(spark, kind):
     d = "/root/testdata/sf0.001"
-    got = values(q.QUERIES[f"sample_{kind.lower()}_full"](spark, d))
+    got = values(q.QUERIES[f"sample_{kind.lower()}"](spark, d))
     g = q._g(spark, d, "uu")
     assert got == brute_sample(g, kind, q.K, 0.15, q.SIGMA_SHARE, q.TAU, q.SEED)
     assert len(got) > 0.15 * g.V.where("declared").count() and set(got.values()) == set(range(q.K))

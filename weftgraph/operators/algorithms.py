@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.loops import cut
@@ -115,14 +115,16 @@ def in_degree(v: DataFrame, e: DataFrame) -> DataFrame:
     return v.select("id").join(d, "id", "left").fillna(0, ["degree"])
 
 
-@algorithm("Triangle closing", "two-hop candidates by frequency, those met at least twice")
-def triangle_closing(a: DataFrame, least: int = 2, keep_known: bool = True) -> DataFrame:
-    """(id, candidate, times); with keep_known=False itself and neighbours are left out."""
+@algorithm("Triangle closing", "two-hop candidates ranked by frequency, those met at least twice")
+def triangle_closing(a: DataFrame, least: int = 2, keep_known: bool = True, top: int | None = None) -> DataFrame:
+    """(id, candidate, times, rank): the candidates of a vertex, most frequent first, ties to the smaller id; with top,
+    so many of them. With keep_known=False itself and neighbours are left out."""
     two = a.select(F.col("src").alias("id"), F.col("dst").alias("via")).join(a.select(F.col("src").alias("via"), F.col("dst").alias("candidate")), "via")
     out = two.groupBy("id", "candidate").agg(F.count("*").alias("times")).where(F.col("times") >= least)
     if not keep_known:
         out = out.where("id <> candidate").join(a.select(F.col("src").alias("id"), F.col("dst").alias("candidate")), ["id", "candidate"], "left_anti")
-    return out
+    out = out.withColumn("rank", F.row_number().over(Window.partitionBy("id").orderBy(F.desc("times"), "candidate")))
+    return out.where(F.col("rank") <= top) if top else out
 
 
 @algorithm("Clustering coefficient", "closed pairs of neighbours over all pairs, on a symmetric edge table")
@@ -183,13 +185,19 @@ def mutate_remove(v: DataFrame, e: DataFrame, old_v: DataFrame, old_e: DataFrame
     return v.select("id").join(gone, "id", "left_anti"), e2.select("src", "dst")
 
 
-@algorithm("Checkpoint recurrence", "sums of messages and edge values over steps, each step a written table")
+@algorithm("Checkpoint recurrence", "vertices add the sum of messages, edges the old value of their source and send it; each step a written table")
 def checkpoint_recurrence(v: DataFrame, e: DataFrame, steps: int = 6) -> DataFrame:
-    """(id, value): value starts at the id's out-degree; each step adds step plus the mean of the in-values, floored."""
-    val = out_degree(v, e).select("id", F.col("degree").alias("value"))
-    for i in range(steps):
-        got = e.join(val.withColumnRenamed("id", "src"), "src").groupBy("dst").agg(F.sum("value").alias("s"), F.count("*").alias("n"))
-        val = cut(val.join(got.withColumnRenamed("dst", "id"), "id", "left").select("id", (F.col("value") + i + F.coalesce(F.expr("s div n"), F.lit(0))).alias("value")), "values")
+    """(id, value). v(id, value long), e(src, dst, w double). In each of the supersteps 0..steps a vertex adds the
+    whole part of the sum of its messages; every edge adds the value that its source had before, and is the message of the
+    next superstep."""
+    val, e = cut(v.select("id", "value"), "values"), cut(e.select("src", "dst", "w"), "edges")
+    for i in range(steps + 1):
+        new = val
+        if i:
+            got = e.groupBy(F.col("dst").alias("id")).agg(F.sum("w").cast("long").alias("s"))
+            new = val.join(got, "id", "left").select("id", (F.col("value") + F.coalesce("s", F.lit(0))).alias("value"))
+        e = cut(e.join(val.withColumnRenamed("id", "src"), "src").select("src", "dst", (F.col("w") + F.col("value")).alias("w")), "edges")
+        val = cut(new, "values")
     return val
 
 
@@ -198,9 +206,11 @@ def message_sum(e: DataFrame) -> DataFrame:
     return e.groupBy(F.col("dst").alias("id")).agg(F.sum("src").alias("total"), F.count("*").alias("messages"))
 
 
-@algorithm("Master broadcast", "value grows by step div 2 + 1 until step 10")
+@algorithm("Master broadcast", "each step the master sends step div 2 + 1 to all vertices, which add it")
 def master_broadcast(v: DataFrame, steps: int = 10) -> DataFrame:
-    value = F.lit(0)
+    """(id, value)."""
+    out = v.select("id", F.lit(0).cast("long").alias("value"))
     for step in range(steps):
-        value = value + (step // 2 + 1)
-    return v.select("id", value.cast("long").alias("value"))
+        sent = v.sparkSession.range(1).select(F.lit(step // 2 + 1).cast("long").alias("sent"))  # one row
+        out = out.crossJoin(F.broadcast(sent)).select("id", (F.col("value") + F.col("sent")).alias("value"))
+    return out

@@ -15,7 +15,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.loops import cut
+from ..functions.loops import cut, drop
 from ..functions.rng import ceil3, ceil3_decimal, uniform
 from ..graph import Graph
 
@@ -33,7 +33,7 @@ class Settings:
     threshold: float = 0.001
     max_iterations: int = 290
     seed: int = 1
-    tie: str = "random"
+    tie: str = "random"  # among the best but the current label, which stays if it is one; any: also it; min: the smallest
     strict_decimal: bool = False
 
 
@@ -94,7 +94,13 @@ def scored(v: DataFrame, hist: DataFrame, l: Loads, s: Settings, step: int) -> D
     ties = F.filter(F.sequence(F.lit(0), F.lit(s.k - 1)), lambda i: F.get("h", i) == F.col("m"))
     pick = F.lit(0) if s.tie == "min" else F.floor(uniform(s.seed, step) * F.size("ties")).cast("int")
     out = out.withColumn("ties", F.when(F.col("m").isNotNull(), ties))
+    if s.tie == "any":  # the current label has no precedence
+        return _chosen(out, F.col("m").isNull(), pick)
     stay = F.col("m").isNull() | F.coalesce(F.get("h", F.col("part")) == F.col("m"), F.lit(False))
+    return _chosen(out, stay, pick)
+
+
+def _chosen(out: DataFrame, stay, pick) -> DataFrame:
     best = F.when(stay, F.col("part")).otherwise(F.get("ties", pick))
     score = F.when(F.col("part").isNotNull(), F.get("h", F.col("part"))).otherwise(F.col("m"))
     return out.select("id", "part", "out_deg", "sym_deg", best.cast("int").alias("best"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce("active", F.lit(False)).alias("active"))
@@ -183,17 +189,22 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
             v = cut(first_migration(sc, s, step + 1), "first")
             step += 2
         scores: deque[float] = deque(maxlen=max(1, (s.window + 1) // 2))
-        l = loads_of(v, s)
+        l, old = loads_of(v, s), None
         for it in range(s.max_iterations):
+            # the labels of a step are a projection of the written scores of the step before
             sc = cut(scored(v, histogram(a, v, s.k), l, s, step), "scored")
+            if old is not None:
+                drop(old)
+            old = sc
             got = sc.groupBy((F.col("active") & ~F.col("best").eqNullSafe(F.col("part"))).alias("asks"), "best").agg(F.sum(F.lit(1).cast("long") if s.mode == "vertex" else load_column(s.mode)), F.sum("score")).collect()
-            wanted = {r[1]: int(r[2]) for r in got if r[0]}
+            wanted = {r[1]: int(r[2]) for r in got if r[0] and r[1] is not None}
             score = sum(r[3] for r in got)
-            v = cut(migrated(sc, gates(l, wanted, s), s, step + 1), "labels")
-            moved = v.where("changed").count()
-            l = loads_of(v, s)
+            v = migrated(sc, gates(l, wanted, s), s, step + 1)
+            by = {r[0]: r[1:] for r in v.groupBy("part").agg(F.sum(load_column(s.mode)), F.count("*"), F.sum(F.col("changed").cast("long"))).collect()}
+            moved = sum(int(x[2]) for x in by.values())
+            l.load, l.count = ([int((by.get(i) or (0, 0))[c] or 0) for i in range(s.k)] for c in (0, 1))
             total = sum(l.load)
-            m = {"step": step, "score": score, "migrations": moved, "max_mean": max(l.load) * s.k / total if total else None, "load": l.load, "count": l.count}
+            m = {"step": step, "score": score, "migrations": moved, "max_mean": max(l.load) * s.k / total if total else None, "load": list(l.load), "count": list(l.count)}
             history.append(m)
             stop = bool(on_step and on_step(step, m))
             if it > 2 and scores and max(scores) != 0 and abs(1 - score / max(scores)) < s.threshold:
@@ -202,6 +213,6 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
             step += 2
             if stop or (moved == 0 and not wanted):
                 break
-        return v.select("id", "part"), history
+        return cut(v.select("id", "part"), "labels"), history
     finally:
         a.unpersist()

@@ -82,6 +82,8 @@ def sample(g: Graph, kind: str, k: int, beta: float = 0.15, sigma: float = 0.05,
         s = cut(seeds(g, kind, first, sigma, seed, f"{step}.{attempt}").withColumn("part", F.lit(None).cast("int")), "seeds")
         if s.limit(1).count():
             break
+    else:
+        return _hubs(g, k, seed), [{"error": "no seed drawn; hubs instead"}]
     sampled = cut(s.select("id", F.floor(uniform(seed, f"{step}p") * k).cast("int").alias("part")), "sample")
     prob = None
     if kind == "GD":
@@ -95,7 +97,8 @@ def sample(g: Graph, kind: str, k: int, beta: float = 0.15, sigma: float = 0.05,
         if size >= want and not empty:
             return sampled, history
         if size >= want:  # full, a part empty: members of larger parts move there
-            move = sum(1.0 for _ in empty) / k
+            # with the probability that a part's surplus has in it
+            move = F.get(F.array(*[F.lit(max(0.0, 1 - size / k / got[i]) if i in got else 0.0) for i in range(k)]), F.col("part"))
             u = uniform(seed, f"{step + r}m")
             pick = F.get(F.array(*[F.lit(i) for i in empty]), F.floor(uniform(seed, f"{step + r}n") * len(empty)).cast("int"))
             sampled = cut(sampled.select("id", F.when(u < move, pick).otherwise(F.col("part")).alias("part")), "sample")
@@ -119,8 +122,11 @@ def sample(g: Graph, kind: str, k: int, beta: float = 0.15, sigma: float = 0.05,
         else:
             frontier = sampled.select("id")  # nobody joined: all ask again
     history.append({"error": "no full sample; hubs instead"})
-    hubs = lp.init_hubs(g.V, lp.hub_threshold(g), lp.Settings(k=k, seed=seed)).where("part is not null").select("id", "part")
-    return hubs, history
+    return _hubs(g, k, seed), history
+
+
+def _hubs(g: Graph, k: int, seed: int) -> DataFrame:
+    return lp.init_hubs(g.V, lp.hub_threshold(g), lp.Settings(k=k, seed=seed)).where("part is not null").select("id", "part")
 
 
 def one_round(g: Graph, kind: str, sigma: int, share: float, tau: int, want: int, seed: int = 1) -> DataFrame:

@@ -112,3 +112,17 @@ def summary(g: Graph, labels: DataFrame, k: int) -> DataFrame:
         F.round(F.try_divide(F.max("real_load") * k, F.sum("real_load")), 9).alias("real_max_mean"), F.round(F.try_divide(F.max("vertices") * k, F.sum("vertices")), 9).alias("v_max_mean"),
     )
     return s
+
+
+def metrics(g: Graph, labels: DataFrame, k: int) -> DataFrame:
+    """(key, value): every metric of a partitioning, and the loads of its parts; for the metrics file."""
+    q = loads(g, labels)
+    rows = [summary(g, labels, k), balance(q, k), avg_degree(q, k).select(*[F.col(c).alias("avg_deg_" + c) for c in ("expected", "max_mean", "max_min")]), jsd(q, k), klu(q, k)]
+    one = lambda d: d.select(F.explode(F.array(*[F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("value")) for c in d.columns])).alias("m")).select("m.*")
+    out = one(rows[0])
+    known = set(rows[0].columns)
+    for d in rows[1:]:
+        out = out.unionByName(one(d.select(*[c for c in d.columns if c not in known])))
+        known |= set(d.columns)
+    parts = _full(q, k).select(F.explode(F.array(*[F.struct(F.concat(F.lit(c + "_"), F.col("part").cast("string")).alias("key"), F.col(c).cast("double").alias("value")) for c in ("vertices", "real_load", "virtual_load")])).alias("m"))
+    return out.unionByName(parts.select("m.*"))

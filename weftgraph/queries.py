@@ -225,12 +225,58 @@ def repartition_down(spark, d):
     return lp.repartition(_lab(_g(spark, d)), K, -1, SEED)
 
 
-@query("lp_run_edge")
+def _run_step(mode: str, source: str, step: str) -> str:
+    """CTEs that score the labels of `source` at a step, ties drawn."""
+    s, size = S[mode], "out_deg"
+    if mode == "vertex":
+        pf = "CASE WHEN c.n > 0 THEN ((1000 * coalesce(p.n, 0) + c.n - 1) // c.n) / 1000.0 ELSE 0 END"
+        h = f"{s.lam} + coalesce(f, 0)::DOUBLE / total::DOUBLE + {s.lam} * ({s.kappa} * CASE WHEN out_deg > 0 THEN coalesce(ec, 0)::DOUBLE / out_deg::DOUBLE ELSE 0 END - {1 - s.kappa} * pf)"
+    else:
+        pf = "CASE WHEN c.cap > 0 THEN ((1000 * coalesce(p.load, 0) + c.cap - 1) // c.cap) / 1000.0 ELSE 0 END"
+        h = f"{s.lam} + coalesce(f, 0)::DOUBLE / total::DOUBLE - {s.lam} * pf"
+    return f"""st AS (SELECT * FROM {source}),
+hist AS (SELECT a.src, l.part AS i, CAST(sum(weight) AS BIGINT) AS f, CAST(sum(CASE WHEN is_virtual THEN 0 ELSE 1 END) AS BIGINT) AS ec, bool_or(l.changed) AS act FROM a JOIN st l ON a.dst = l.id WHERE l.part IS NOT NULL GROUP BY a.src, l.part),
+tot AS (SELECT src, sum(f) AS total, bool_or(act) AS active FROM hist GROUP BY src),
+pl AS (SELECT part, CAST(sum({size}) AS BIGINT) AS load, count(*) AS n FROM st WHERE part IS NOT NULL GROUP BY part),
+c AS (SELECT CAST(floor({'sum(n)' if mode == 'vertex' else 'sum(load)'} * {1 + s.slack} / {K} + 0.5) AS BIGINT) AS cap, CAST(sum(n) AS BIGINT) AS n FROM pl),
+pen AS (SELECT CAST(k.i AS INTEGER) AS i, CAST({pf} AS DOUBLE) AS pf, coalesce(p.load, 0) AS load, coalesce(p.n, 0) AS n, c.cap FROM range({K}) k(i) CROSS JOIN c LEFT JOIN pl p ON p.part = k.i),
+h AS (SELECT st.id, pen.i, round({h}, 9) AS h FROM st JOIN tot ON st.id = tot.src CROSS JOIN pen LEFT JOIN hist ON hist.src = st.id AND hist.i = pen.i),
+mx AS (SELECT id, max(h) AS m FROM h GROUP BY id),
+bst AS (SELECT h.id, list(h.i ORDER BY h.i) AS ties, max(m) AS m FROM h JOIN mx ON mx.id = h.id WHERE h = m GROUP BY h.id),
+sc AS (SELECT st.*, CASE WHEN b.m IS NULL OR cur.h = b.m THEN st.part ELSE b.ties[1 + CAST(floor({_draw(step, 'st.id')} * len(b.ties)) AS INTEGER)] END AS best,
+  CASE WHEN b.m IS NULL THEN 0.0 WHEN st.part IS NULL THEN b.m ELSE cur.h END AS score, coalesce(tot.active, false) AS active
+  FROM st LEFT JOIN bst b ON b.id = st.id LEFT JOIN h cur ON cur.id = st.id AND cur.i = st.part LEFT JOIN tot ON tot.src = st.id)"""
+
+
+def _draw(step: str, col: str) -> str:
+    return f"(CAST('0x' || substr(md5('{SEED}:' || ({step}) || ':' || {col}), 1, 8) AS BIGINT) / 4294967296.0)"
+
+
+def _lp_run_sql(mode: str) -> str:
+    """The whole run: first scores and ungated migration, then gated steps until the window of scores is level."""
+    s = lp.Settings(k=K, mode=mode)
+    used, size, keep = ("n", "1", (s.window + 1) // 2) if mode == "vertex" else ("load", "out_deg", (s.window + 1) // 2)
+    first = _run_step(mode, "hub", "3")
+    return f"""WITH RECURSIVE {base()[5:]}, hub AS (SELECT *, true AS changed FROM ({HUBS})),
+start AS MATERIALIZED (WITH {first} SELECT id, out_deg, sym_deg, part AS old, CAST(coalesce(best, part, CAST(floor({_draw('4', 'id')} * {K}) AS INTEGER)) AS INTEGER) AS part FROM sc),
+run AS (SELECT id, part, out_deg, sym_deg, part IS DISTINCT FROM old AS changed, 5 AS step, 0 AS it, CAST([] AS DOUBLE[]) AS scores, false AS done FROM start
+UNION ALL (WITH {_run_step(mode, '(SELECT * FROM run WHERE NOT done)', 'st.step')},
+dem AS (SELECT best AS i, CAST(sum({size}) AS BIGINT) AS demand FROM sc WHERE active AND best IS NOT NULL AND best IS DISTINCT FROM part GROUP BY best),
+gate AS (SELECT pen.i, greatest(0.0, CAST(cap - {used} AS DOUBLE) / demand) AS p FROM pen JOIN dem ON dem.i = pen.i),
+mv AS (SELECT sc.*, coalesce(active AND best IS DISTINCT FROM part AND {_draw('sc.step + 1', 'sc.id')} < coalesce(p, 0), false) AS moves FROM sc LEFT JOIN gate ON gate.i = sc.best),
+t AS (SELECT sum(score) AS score, bool_or(moves) AS moved, (SELECT count(*) FROM dem) AS wanted FROM mv)
+SELECT mv.id, CASE WHEN moves THEN best ELSE part END, out_deg, sym_deg, moves, step + 2, it + 1, list_append(scores, t.score)[-{keep}:],
+  it + 1 >= {s.max_iterations} OR (it > 2 AND list_max(scores) <> 0 AND abs(1 - t.score / list_max(scores)) < {s.threshold}) OR (NOT t.moved AND t.wanted = 0)
+FROM mv CROSS JOIN t))
+SELECT id, part FROM run WHERE step = (SELECT max(step) FROM run)"""
+
+
+@query("lp_run_edge", _lp_run_sql("edge"))
 def lp_run_edge(spark, d):
     return lp.run(_g(spark, d), lp.Settings(k=K, mode="edge"))[0]
 
 
-@query("lp_run_vertex")
+@query("lp_run_vertex", _lp_run_sql("vertex"))
 def lp_run_vertex(spark, d):
     return lp.run(_g(spark, d), lp.Settings(k=K, mode="vertex"))[0]
 
@@ -347,7 +393,7 @@ def _sigma(g: Graph) -> int:
 
 
 def _sample_query(kind: str, sql: str):
-    @query(f"sample_{kind.lower()}", base("uu") + sql)
+    @query(f"nominate_{kind.lower()}", base("uu") + sql)
     def q(spark, d):
         g = _g(spark, d, "uu")
         return samplers.one_round(g, kind, _sigma(g), SIGMA_SHARE, TAU, 0, SEED)
@@ -360,7 +406,7 @@ _sample_query("GD", SIG + GD + _round_sql(f"SELECT id FROM v JOIN gd ON gd.degre
 
 
 def _sample_full(kind: str):
-    @query(f"sample_{kind.lower()}_full")
+    @query(f"sample_{kind.lower()}")
     def q(spark, d):
         return samplers.sample(_g(spark, d, "uu"), kind, K, sigma=SIGMA_SHARE, tau=TAU, seed=SEED)[0]
 
@@ -422,68 +468,61 @@ DEG = ", dg AS (SELECT src, count(*) AS deg FROM e GROUP BY src), n AS (SELECT c
 SUMS = "SELECT e.dst, sum(rank * (1.0::DOUBLE / deg)) AS s FROM e JOIN {p} r ON r.id = e.src JOIN dg ON dg.src = e.src GROUP BY e.dst"
 
 
-@query("pagerank_simple", base() + DEG + _steps("SELECT id, 1.0::DOUBLE AS rank FROM v", f"SELECT v.id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(s, 0) AS rank FROM v CROSS JOIN n LEFT JOIN ({SUMS}) x ON x.dst = v.id", 5) + " SELECT id, round(rank, 9) AS rank FROM r5")
-def pagerank_simple(spark, d):
-    g = _g(spark, d)
-    return algorithms.pagerank_simple(g.V.select("id"), g.E, 5).select("id", F.round("rank", 9).alias("rank"))
-
+def _loop(first: str, step: str, again: str) -> str:
+    """A recursive table r(id, x, step, change): {p} in step is the step before; goes on while `again` holds."""
+    return f", r AS ({first} UNION ALL (WITH p AS (SELECT * FROM r WHERE {again}) {step}))"
 
-WALK = f"SELECT v.id, 0.85::DOUBLE * (coalesce(s, 0) + (SELECT coalesce(sum(rank), 0) FROM {{p}} q WHERE q.id NOT IN (SELECT src FROM dg)) / n) + JUMP AS rank FROM v CROSS JOIN n LEFT JOIN ({SUMS}) x ON x.dst = v.id"
 
-
-@query("pagerank", base() + DEG + _steps("SELECT id, 1.0::DOUBLE / n AS rank FROM v, n", WALK.replace("JUMP", "0.15::DOUBLE / n"), 4) + " SELECT id, round(rank, 9) AS rank FROM r4")
-def pagerank(spark, d):
-    g = _g(spark, d)
-    return algorithms.pagerank(g.V.select("id"), g.E, 4, eps=0.0).select("id", F.round("rank", 9).alias("rank"))
+def _rec(name: str = "chain") -> str:
+    return "WITH RECURSIVE " + base(name)[5:]
 
 
-@query("rwr", base() + DEG + ", so AS (SELECT id FROM v WHERE id % 50 = 0)" + _steps("SELECT id, 1.0::DOUBLE / n AS rank FROM v, n", WALK.replace("JUMP", "CASE WHEN v.id IN (SELECT id FROM so) THEN 0.15::DOUBLE / (SELECT count(*) FROM so) ELSE 0 END"), 4) + " SELECT id, round(rank, 9) AS rank FROM r4")
-def rwr(spark, d):
-    g = _g(spark, d)
-    return algorithms.rwr(g.V.select("id"), g.E, g.V.where("id % 50 = 0"), 4, eps=0.0).select("id", F.round("rank", 9).alias("rank"))
+LAST = "FROM r WHERE step = (SELECT max(step) FROM r)"
+SUMS = "SELECT e.dst, sum(rank * (1.0::DOUBLE / deg)) AS s FROM e JOIN p ON p.id = e.src JOIN dg ON dg.src = e.src GROUP BY e.dst"
 
 
-@query("sssp", base() + ", w AS (SELECT src, dst, (1 + (src + dst) % 7)::DOUBLE AS w FROM e)" + _steps("SELECT id, CASE WHEN id = (SELECT min(id) FROM v) THEN 0.0::DOUBLE END AS dist FROM v", "SELECT p.id, least(p.dist, min(q.dist + w)) AS dist FROM {p} p LEFT JOIN w ON w.dst = p.id LEFT JOIN {p} q ON q.id = w.src GROUP BY p.id, p.dist", 6) + " SELECT id, dist FROM r6")
-def sssp(spark, d):
+@query("pagerank_simple", _rec() + DEG + _loop("SELECT id, 1.0::DOUBLE AS rank, 0 AS step FROM v", f"SELECT p.id, 0.15::DOUBLE / n + 0.85::DOUBLE * coalesce(s, 0), step + 1 FROM p CROSS JOIN n LEFT JOIN ({SUMS}) x ON x.dst = p.id", "step < 30") + f" SELECT id, round(rank, 9) AS rank {LAST}")
+def pagerank_simple(spark, d):
     g = _g(spark, d)
-    source = g.V.agg(F.min("id")).first()[0]
-    return algorithms.sssp(g.V.select("id"), g.E.withColumn("w", (1 + (F.col("src") + F.col("dst")) % 7).cast("double")), source, max_steps=6)
-
+    return algorithms.pagerank_simple(g.V.select("id"), g.E).select("id", F.round("rank", 9).alias("rank"))
 
-# The queries above stop where their unrolled SQL does; these run to the operators' own end. No SQL.
 
-@query("pagerank_simple_full")
-def pagerank_simple_full(spark, d):
-    g = _g(spark, d)
-    return algorithms.pagerank_simple(g.V.select("id"), g.E).select("id", F.round("rank", 9).alias("rank"))
+def _walk_sql(sources: str, jump: str) -> str:
+    """30 steps, or fewer once the L1 change is below 1e-5; ranks are scaled by the sum of the step before."""
+    walk = f"""SELECT q.id, q.rank / CASE WHEN before IS NULL THEN 1.0::DOUBLE ELSE before END AS rank, step, CASE WHEN before IS NULL AND abs(total - 1) >= 1e-12 THEN total END AS before,
+  step = 30 OR (step > 2 AND change < 1e-5) AS done FROM (SELECT z.*, sum(rank) OVER () AS total, sum(abs(rank - old)) OVER () AS change FROM
+  (SELECT p.id, p.rank AS old, step + 1 AS step, before, 0.85::DOUBLE * (coalesce(s, 0) + (SELECT coalesce(sum(rank), 0) FROM p q WHERE q.id NOT IN (SELECT src FROM dg)) / n) + {jump} AS rank
+   FROM p CROSS JOIN n LEFT JOIN ({SUMS}) x ON x.dst = p.id) z) q"""
+    return _rec() + DEG + sources + _loop("SELECT id, 1.0::DOUBLE / n AS rank, 0 AS step, NULL::DOUBLE AS before, false AS done FROM v, n", walk, "NOT done") + f" SELECT id, round(rank, 9) AS rank {LAST}"
 
 
-@query("pagerank_full")
-def pagerank_full(spark, d):
+@query("pagerank", _walk_sql("", "0.15::DOUBLE / n"))
+def pagerank(spark, d):
     g = _g(spark, d)
     return algorithms.pagerank(g.V.select("id"), g.E).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("rwr_full")
-def rwr_full(spark, d):
+@query("rwr", _walk_sql(", so AS (SELECT id FROM v WHERE id % 50 = 0)", "CASE WHEN p.id IN (SELECT id FROM so) THEN 0.15::DOUBLE / (SELECT count(*) FROM so) ELSE 0 END"))
+def rwr(spark, d):
     g = _g(spark, d)
     return algorithms.rwr(g.V.select("id"), g.E, g.V.where("id % 50 = 0")).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query("sssp_full")
-def sssp_full(spark, d):
+@query("sssp", _rec() + ", w AS (SELECT src, dst, (1 + (src + dst) % 7)::DOUBLE AS w FROM e)" + _loop("SELECT id, CASE WHEN id = (SELECT min(id) FROM v) THEN 0.0::DOUBLE END AS dist, 0 AS step, true AS changed FROM v",
+    "SELECT p.id, least(p.dist, m.d), step + 1, coalesce(m.d < coalesce(p.dist, 'inf'::DOUBLE), false) FROM p LEFT JOIN (SELECT w.dst, min(p.dist + w) AS d FROM p JOIN w ON w.src = p.id GROUP BY w.dst) m ON m.dst = p.id", "(SELECT bool_or(changed) FROM r)") + f" SELECT id, dist {LAST}")
+def sssp(spark, d):
     g = _g(spark, d)
     source = g.V.agg(F.min("id")).first()[0]
     return algorithms.sssp(g.V.select("id"), g.E.withColumn("w", (1 + (F.col("src") + F.col("dst")) % 7).cast("double")), source)
 
 
-@query("connected_components", base() + _steps("SELECT id, id AS c FROM v", "SELECT p.id, least(p.c, min(q.c)) AS c FROM {p} p LEFT JOIN a ON a.src = p.id LEFT JOIN {p} q ON q.id = a.dst GROUP BY p.id, p.c", 14) + " SELECT id, c AS component FROM r14")
+@query("connected_components", _rec() + _loop("SELECT id, id AS c, 0 AS step, true AS changed FROM v", "SELECT p.id, least(p.c, m.c), step + 1, coalesce(m.c < p.c, false) FROM p LEFT JOIN (SELECT a.src, min(p.c) AS c FROM a JOIN p ON p.id = a.dst GROUP BY a.src) m ON m.src = p.id", "(SELECT bool_or(changed) FROM r)") + f" SELECT id, c AS component {LAST}")
 def connected_components(spark, d):
     g = _g(spark, d)
     return algorithms.connected_components(g.V.select("id"), g.A)
 
 
-@query("max_propagation", base("uu") + _steps("SELECT id, out_deg AS c FROM v", "SELECT p.id, greatest(p.c, max(q.c)) AS c FROM {p} p LEFT JOIN e ON e.dst = p.id LEFT JOIN {p} q ON q.id = e.src GROUP BY p.id, p.c", 14) + " SELECT id, c AS value FROM r14")
+@query("max_propagation", _rec("uu") + _loop("SELECT id, out_deg AS c, 0 AS step, true AS changed FROM v", "SELECT p.id, greatest(p.c, m.c), step + 1, coalesce(m.c > p.c, false) FROM p LEFT JOIN (SELECT e.dst, max(p.c) AS c FROM e JOIN p ON p.id = e.src GROUP BY e.dst) m ON m.dst = p.id", "(SELECT bool_or(changed) FROM r)") + f" SELECT id, c AS value {LAST}")
 def max_propagation(spark, d):
     g = _g(spark, d, "uu")
     return algorithms.max_propagation(g.V.select("id", F.col("out_deg").alias("value")), g.E)
@@ -501,7 +540,7 @@ def in_degree(spark, d):
     return algorithms.in_degree(g.V, g.E)
 
 
-@query("triangle_closing", base("uu") + "SELECT x.src AS id, y.dst AS candidate, count(*) AS times FROM a x JOIN a y ON x.dst = y.src GROUP BY 1, 2 HAVING count(*) >= 2")
+@query("triangle_closing", base("uu") + "SELECT *, CAST(row_number() OVER (PARTITION BY id ORDER BY times DESC, candidate) AS INTEGER) AS rank FROM (SELECT x.src AS id, y.dst AS candidate, count(*) AS times FROM a x JOIN a y ON x.dst = y.src GROUP BY 1, 2 HAVING count(*) >= 2)")
 def triangle_closing(spark, d):
     return algorithms.triangle_closing(_g(spark, d, "uu").A)
 
@@ -525,16 +564,30 @@ def mutate_remove(spark, d):
     return algorithms.mutate_remove(g.V, g.E, g.V.where("id % 10 = 0"), g.E.where("src % 3 = 0 and dst % 3 = 0"))[1]
 
 
-@query("checkpoint_recurrence", base() + _steps("SELECT id, out_deg AS value FROM v", "SELECT p.id, CAST(p.value + {i} + coalesce(sum(q.value) // nullif(count(q.id), 0), 0) AS BIGINT) AS value FROM {p} p LEFT JOIN e ON e.dst = p.id LEFT JOIN {p} q ON q.id = e.src GROUP BY p.id, p.value", 3) + " SELECT id, value FROM r3")
+def _checkpoint_sql(steps: int = 6) -> str:
+    out = base() + ", x0 AS (SELECT id, out_deg AS value FROM v), w0 AS (SELECT src, dst, 1.0::DOUBLE AS w FROM e)"
+    for i in range(steps + 1):
+        new = f"SELECT p.id, p.value + coalesce(m.s, 0) AS value FROM x{i} p LEFT JOIN (SELECT dst, CAST(trunc(sum(w)) AS BIGINT) AS s FROM w{i} GROUP BY dst) m ON m.dst = p.id" if i else "SELECT * FROM x0"
+        out += f", w{i + 1} AS MATERIALIZED (SELECT src, dst, w + value AS w FROM w{i} JOIN x{i} ON id = src), x{i + 1} AS MATERIALIZED ({new})"
+    return out + f" SELECT id, value FROM x{steps + 1}"
+
+
+@query("checkpoint_recurrence", _checkpoint_sql())
 def checkpoint_recurrence(spark, d):
     g = _g(spark, d)
-    return algorithms.checkpoint_recurrence(g.V.select("id"), g.E, 3)
+    return algorithms.checkpoint_recurrence(g.V.select("id", F.col("out_deg").alias("value")), g.E.withColumn("w", F.lit(1.0)))
 
 
-@query("checkpoint_recurrence_full")
-def checkpoint_recurrence_full(spark, d):
+@query("mutate_counts", base() + """, added AS (SELECT id AS src, id + 5000000000 AS dst FROM v WHERE id % 10 = 0), ne AS (SELECT src, dst FROM e UNION SELECT src, dst FROM added),
+nv AS (SELECT id FROM v UNION SELECT dst FROM added), lv AS (SELECT id FROM nv WHERE id % 7 <> 0), le AS (SELECT * FROM ne WHERE src % 7 <> 0 AND dst % 7 <> 0)
+SELECT 'add' AS step, (SELECT count(*) FROM nv) AS n_vertices, (SELECT count(*) FROM ne) AS n_edges UNION ALL SELECT 'remove', (SELECT count(*) FROM lv), (SELECT count(*) FROM le)""")
+def mutate_counts(spark, d):
     g = _g(spark, d)
-    return algorithms.checkpoint_recurrence(g.V.select("id"), g.E)
+    new = g.V.where("id % 10 = 0").select(F.col("id").alias("src"), (F.col("id") + F.lit(5_000_000_000)).alias("dst"))
+    v, e = algorithms.mutate_add(g.V, g.E, g.V.limit(0), new)
+    v2, e2 = algorithms.mutate_remove(v, e, v.where("id % 7 = 0"), e.limit(0))
+    count = lambda step, v, e: v.agg(F.count("*").alias("n_vertices")).crossJoin(e.agg(F.count("*").alias("n_edges"))).select(F.lit(step).alias("step"), "n_vertices", "n_edges")  # noqa: E731  one row each
+    return count("add", v, e).unionByName(count("remove", v2, e2))
 
 
 @query("message_sum", base() + "SELECT dst AS id, CAST(sum(src) AS BIGINT) AS total, count(*) AS messages FROM e GROUP BY dst")

@@ -71,9 +71,9 @@ def _id(token, lay: Layout):
 
 def read_graph(spark: SparkSession, path, layout: str | Layout = "long_adjacency") -> tuple[DataFrame, DataFrame]:
     """(vertices, edges) of text files. vertices(id, part, value, declared), edges(src, dst, w, is_virtual
-    [, src_part, dst_part]); repeated pairs collapse, blank lines are no records."""
+    [, src_part, dst_part]); of repeated pairs the last one read stays, blank lines are no records."""
     lay = LAYOUTS[layout] if isinstance(layout, str) else layout
-    t = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.split("value", lay.sep).alias("t"))
+    t = spark.read.text(path).where(F.length(F.trim("value")) > 0).select(F.split("value", lay.sep).alias("t"), F.monotonically_increasing_id().alias("at"))
     value = F.lit(lay.value)
     if lay.kind == "labels":
         if lay.part == "none":
@@ -86,7 +86,7 @@ def read_graph(spark: SparkSession, path, layout: str | Layout = "long_adjacency
     i, p = _id(F.get("t", 0), lay)
     if lay.kind == "adjacency":
         v = t.select(i.alias("id"), p.alias("part"), value.alias("value"), F.lit(True).alias("declared"))
-        rows = t.select(i.alias("src"), p.alias("src_part"), F.explode(F.filter(F.slice("t", 2, 2**31 - 2), lambda x: x != "")).alias("d"))
+        rows = t.select("at", i.alias("src"), p.alias("src_part"), F.explode(F.filter(F.slice("t", 2, 2**31 - 2), lambda x: x != "")).alias("d"))
         w = F.lit(lay.weight).cast(lay.weight_type)
     else:
         if isinstance(lay.weight, str) and lay.weight.startswith("optional:"):
@@ -95,13 +95,14 @@ def read_graph(spark: SparkSession, path, layout: str | Layout = "long_adjacency
             w = F.element_at("t", 3).cast(lay.weight_type)  # an error where it is absent
         else:
             w = F.lit(lay.weight).cast(lay.weight_type)
-        rows = t.select(i.alias("src"), p.alias("src_part"), F.element_at("t", 2).alias("d"), w.alias("w0"))
+        rows = t.select("at", i.alias("src"), p.alias("src_part"), F.element_at("t", 2).alias("d"), w.alias("w0"))
         w = F.col("w0")
     d, dp = _id(F.col("d"), lay if lay.both else Layout("edges", ids=lay.ids))
-    e = rows.select("src", d.alias("dst"), w.alias("w"), F.lit(lay.virtual).alias("is_virtual"), "src_part", dp.alias("dst_part"))
+    e = rows.select("src", d.alias("dst"), w.alias("w"), F.lit(lay.virtual).alias("is_virtual"), "src_part", dp.alias("dst_part"), "at")
     if lay.reverse:
-        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "is_virtual", F.col("dst_part").alias("src_part"), F.col("src_part").alias("dst_part")))
-    e = e.groupBy("src", "dst").agg(F.max("w").alias("w"), F.max("is_virtual").alias("is_virtual"), F.max("src_part").alias("src_part"), F.max("dst_part").alias("dst_part"))
+        e = e.unionByName(e.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "w", "is_virtual", F.col("dst_part").alias("src_part"), F.col("src_part").alias("dst_part"), "at"))
+    kept = F.max(F.struct("at", "w", "is_virtual", "src_part", "dst_part")).alias("k")
+    e = e.groupBy("src", "dst").agg(kept).select("src", "dst", "k.w", "k.is_virtual", "k.src_part", "k.dst_part")
     if lay.kind == "edges":
         v = e.select(F.col("src").alias("id"), F.col("src_part").alias("part")).groupBy("id").agg(F.max("part").alias("part"))
         v = v.select("id", "part", value.alias("value"), F.lit(True).alias("declared"))
@@ -122,6 +123,12 @@ def generated(spark: SparkSession, n: int = 10, splits: int = 1, reverse: bool =
     return r.select((F.lit(n * splits - 1) - F.col("id")).alias("id")) if reverse else r
 
 
+def generated_edges(spark: SparkSession, n: int = 10, splits: int = 1, reverse: bool = False) -> DataFrame:
+    """n edges for each split, from i to i + 1, the last one back to 0; optionally in falling order of i."""
+    r = generated(spark, n, splits, reverse)
+    return r.select(F.col("id").alias("src"), ((F.col("id") + 1) % F.lit(n * splits)).alias("dst"))
+
+
 def sources(spark: SparkSession, one: int | None = None, path: str | None = None) -> DataFrame:
     """A set of ids: one id, else a file with an id a line, else none."""
     if one is not None:
@@ -132,15 +139,15 @@ def sources(spark: SparkSession, one: int | None = None, path: str | None = None
 
 
 def run_metrics(spark: SparkSession, path: str, skip: str = "GDD") -> DataFrame:
-    """(file, key, value) of KEY,value files; files with `skip` in their name are left out."""
-    t = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value")
+    """(file, key, value, at) of KEY,value files, `at` in the order of lines; files with `skip` in their name are left out."""
+    t = spark.read.text(path).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("file"), "value", F.monotonically_increasing_id().alias("at"))
     bits = F.split("value", ",", 2)
-    return t.where(~F.contains("file", F.lit(skip)) & F.contains("value", F.lit(","))).select("file", F.trim(F.get(bits, 0)).alias("key"), F.trim(F.get(bits, 1)).alias("value"))
+    return t.where(~F.contains("file", F.lit(skip)) & F.contains("value", F.lit(","))).select("file", F.trim(F.get(bits, 0)).alias("key"), F.trim(F.get(bits, 1)).alias("value"), "at")
 
 
 def collate(metrics: DataFrame, keys: list[str]) -> DataFrame:
     """One row a file, one column a key; keys match exactly, the last value in order wins."""
-    return metrics.where(F.col("key").isin(keys)).groupBy("file").pivot("key", keys).agg(F.max("value"))
+    return metrics.where(F.col("key").isin(keys)).groupBy("file").pivot("key", keys).agg(F.max_by("value", "at"))
 
 
 def job_logs(spark: SparkSession, path: str, counters: list[str]) -> DataFrame:

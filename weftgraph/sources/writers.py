@@ -18,6 +18,11 @@ def label_lines(labels: DataFrame, delimiter: str = ",", value: str | None = Non
     return labels.where("part is not null").select(F.concat_ws(delimiter, *[F.col(c).cast("string") for c in cols]).alias("line"))
 
 
+def value_lines(values: DataFrame, value: str = "value", delimiter: str = "\t") -> DataFrame:
+    """id<delimiter>value."""
+    return values.select(F.concat_ws(delimiter, F.col("id").cast("string"), F.col(value).cast("string")).alias("line"))
+
+
 def adjacency_lines(edges: DataFrame, vertices: DataFrame | None = None, labels: DataFrame | None = None, label_source: bool = False, label_targets: bool = False, real_only: bool = True, delimiter: str = "\t", skip_isolated: bool = False) -> DataFrame:
     """id[_part] and its neighbours [_part], ids in order. With vertices, those without neighbours
     are written too unless skip_isolated."""
@@ -60,6 +65,10 @@ def write_adjacency(edges: DataFrame, path: str, mode: str = "error", **kw) -> N
     _write(adjacency_lines(edges, **kw), path, mode)
 
 
+def write_values(values: DataFrame, path: str, value: str = "value", delimiter: str = "\t", mode: str = "error") -> None:
+    _write(value_lines(values, value, delimiter), path, mode)
+
+
 def write_nothing(vertices: DataFrame) -> None:
     """Runs the plan and keeps no output."""
     vertices.write.format("noop").mode("overwrite").save()
