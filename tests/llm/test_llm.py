@@ -153,6 +153,26 @@ def test_lines_equal_brute_force(spark, batches):
     assert sorted(got, key=repr) == brute_lines(rows)
 
 
+def test_lines_of_string_ids(spark):
+    r = random.Random(41)
+    pool = [("%s " % x) * 12 for x in words(r, 6)]
+    rows = [(f"d{r.randrange(30)}", "\n".join(r.choices(pool, k=r.randint(0, 5)))) for _ in range(40)]
+    df = spark.createDataFrame(rows, "doc_id string, text string").withColumn("a`b", F.create_map(F.lit(1), F.lit(2)))
+    got = [(x.doc.doc_id, x.n_lines, x.n_dropped, x.kept) for x in lines.dedup_lines(df).collect()]
+    assert sorted(got, key=repr) == brute_lines(rows)
+
+
+def test_named_columns_only(spark):
+    """Columns of any type and name beside the named ones, in the operators that tell rows apart."""
+    rows = [(i, "password=abcdef12 and more words here", "en", f"s{i % 3}") for i in range(12)] + [(None, None, None, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("a`b", F.create_map(F.lit(1), F.lit(2))).withColumn("found", F.struct(F.lit(1).alias("row")))
+    lab = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    assert secrets.digest(secrets.find(df)).where("n_assign = 1").count() == 12
+    assert quality.classify(df, lab).count() == 13 and quality.keep_good(df, lab).columns == df.columns
+    bench = spark.createDataFrame([(1, "password=abcdef12 and more words here")], "item_id long, text string")
+    assert decontaminate.find(df, bench).count() == 12 and decontaminate.drop_contaminated(df, bench).count() == 1
+
+
 def test_lines_incremental(spark):
     store = lines.RunStore(spark, 2)
     a, b = "a" * 50, "b" * 50

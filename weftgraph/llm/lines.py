@@ -6,11 +6,14 @@ of documents becomes one run of level 0. When a level holds `fanout` runs, a com
 them into one run of the next level, so a store of N batches has O(log N) runs and rewrites each
 row O(log N) times. A batch is cleaned by merge-anti-joining its lines with the runs.
 
-`dedup_lines` feeds a corpus to the store in id ranges (all rows, each in one range), then
-anti-joins every line with the merged runs: a key found in at least `min_docs` documents
+`dedup_lines` feeds a corpus to the store in batches by a hash of the id (all rows, each in one; ids of any
+ordered type), then anti-joins every line with the merged runs: a key found in at least `min_docs` documents
 loses its lines except in the largest id that holds it. `drop_seen` is the incremental form: a
 new batch loses the lines that the store already has often enough, and is then added.
 
+The merge of runs and the joins with them are Spark's: they deal and sort the rows again, so that a line of a third
+of all documents can be split; the order that the runs are stored in saves them nothing.
+
 Only lines are exploded, never one document's group into one task; a line that a third of the
 documents share is aggregated before the shuffle, and its join is one that AQE can split.
 
@@ -28,7 +31,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, col, cut, drop
 
 BLANKS = " \t\n\x0b\x0c\r"
 BATCHES, FANOUT = 4, 4
@@ -65,6 +68,7 @@ class RunStore:
         if len(self.levels[level]) >= self.fanout:
             full, self.levels[level] = self.levels[level], []
             self._write(self._merge(full), level + 1)
+            drop(*full)
 
     def add(self, docs: DataFrame, id_col: str, text_col: str, min_len: int) -> None:
         """The batch's lines, once for each document, as a run of level 0."""
@@ -120,14 +124,7 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(doc, kept, n_lines, n_dropped) for every row of docs."""
     spark = docs.sparkSession
     store = RunStore(spark, fanout)
-    low, high = docs.agg(F.min(id_col), F.max(id_col)).first()
-    if low is None:
-        store.add(docs, id_col, text_col, min_len)
-    else:
-        width = (high - low) // batches + 1
-        for k in range(batches):  # largest ids first; the last range also takes null ids
-            to = high + 1 - k * width
-            part = (F.col(id_col) < to) & (F.col(id_col) >= to - width)
-            store.add(docs.where(part | F.col(id_col).isNull() if k == batches - 1 else part), id_col, text_col, min_len)
+    for k in range(batches):
+        store.add(docs.where(F.pmod(F.xxhash64(col(id_col)), F.lit(batches)) == k), id_col, text_col, min_len)
     seen = store.merged().where(F.col("n") >= min_docs).select("h1", "h2", "last")
     return _anti(docs, seen, id_col, text_col, min_len)
