@@ -30,6 +30,14 @@ def only(df: DataFrame, keys: DataFrame, how: str, on) -> DataFrame:
     return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys, on, how)
 
 
+def without(docs: DataFrame, gone: DataFrame, key) -> DataFrame:
+    """docs less the rows whose key is in the one column of `gone`, a written table; docs may have any column names."""
+    name, taken = "gone", {c.lower() for c in docs.columns}
+    while name in taken:
+        name += "_"
+    return only(docs, gone.toDF(name), "left_anti", key == F.col(name))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

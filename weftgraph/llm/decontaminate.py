@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, col, cut, drop, emit, only, row_key, slices, small_batches, summed
+from .common import PARTS, col, cut, drop, emit, row_key, slices, small_batches, summed, without
 from .quality import STRIP
 
 PASSAGE, STRIDE, EXTRA, ANSWER = 64, 16, 16, 5
@@ -533,4 +533,4 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **kw) -> DataFrame:
     """The rows of docs that hold no item, with docs' own columns."""
     gone = cut(find(docs, benchmark, id_col, text_col, **kw).select(F.col("row").alias("gone")).distinct(), "contaminated")
-    return only(docs, gone, "left_anti", row_key(col(id_col), col(text_col)) == F.col("gone"))
+    return without(docs, gone, row_key(col(id_col), col(text_col)))

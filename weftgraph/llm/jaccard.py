@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, PARTS, col, components, cut, emit, only, slices, small_batches, summed
+from .common import BROADCAST_ROWS, PARTS, col, components, cut, emit, only, slices, small_batches, summed, without
 
 BUCKETS = 21  # bits of the sketch
 CELL_BLOCK, LEAF, FAN, COARSE, SALT_ROWS = 2048, 16, 8, 64, 65_536
@@ -455,4 +455,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pc
     """docs with one document of each component, that of the smallest id; docs' own columns.
     Rows that repeat an id stay together."""
     gone = cut(join(docs, id_col, text_col, pct).where(col(id_col) != F.col("component_id")).select(col(id_col).alias("gone")).distinct(), "near-copies")
-    return only(docs, gone, "left_anti", col(id_col).cast("long") == F.col("gone"))
+    return without(docs, gone, col(id_col).cast("long"))

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, only, row_key, slices, small_batches
+from .common import col, cut, row_key, slices, small_batches, without
 
 SAMPLE_ROWS, WORDS, THRESHOLD = 8000, 1000, 0.5
 CACHE_WORDS = 250_000
@@ -232,4 +232,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
     """The rows of docs that the classifier keeps, with docs' own columns."""
     out = classify(docs, labels, id_col, text_col, host_col, path_col, **kw)
     gone = cut(out.where(~F.col("keep")).select(F.col("row").alias("gone")).distinct(), "rejected")
-    return only(docs, gone, "left_anti", own_key(id_col, text_col, host_col, path_col) == F.col("gone"))
+    return without(docs, gone, own_key(id_col, text_col, host_col, path_col))
