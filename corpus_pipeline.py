@@ -21,7 +21,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines of at least 40 code points in at least 5 documents stay in one."""
     out = lines.dedup_lines(docs)
     own = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
-    return out.select(*[own.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])
+    return out.select(*[own.get(c, F.col("doc").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_copy_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
