@@ -8,7 +8,9 @@ copied example, one of a single owner looks live. Opaque strings of a single own
 spans, are added to the spans as kind `owned`; base spans always stay.
 
 Offsets: each match is set between marks and the text split at them; a running sum of the part
-lengths, one window a document, gives code point offsets in time linear in the parts. Texts are
+lengths, one window a document, gives code point offsets in time linear in the parts. Two more windows,
+the largest end of base spans that start no later and the least start of those no earlier, tell in
+linear time whether an owned span is clear of them. Texts are
 read once; only lengths and hashes of the parts leave the scan. Values are pre-aggregated by
 (hash, repository, owner) before distinct counts, so a value in a third of all rows is no hot spot.
 
@@ -19,7 +21,7 @@ same result each, and count once in the ownership. Only the named columns are re
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import col, cut, row_key
@@ -66,8 +68,6 @@ def candidates(scanned: DataFrame) -> DataFrame:
     one = scanned.where(F.size("found") > 0).groupBy("row").agg(F.first("repo").alias("repo"), F.first("owner").alias("owner"), F.first("found").alias("found"))
     flat = one.select("row", "repo", "owner", F.explode("found").alias("f"))
     flat = flat.select("row", "repo", "owner", "f.kind", F.posexplode("f.parts").alias("pos", "p"))
-    from pyspark.sql import Window
-
     end = F.sum("p.len").over(Window.partitionBy("row", "kind").orderBy("pos"))
     flat = flat.withColumn("end", end).where("p.ok")
     return flat.select("row", "repo", "owner", "kind", "p.hash", (F.col("end") - F.col("p.len")).alias("start"), "end")
@@ -89,12 +89,13 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo=N
     found = cut(candidates(scanned), "candidates")
     stats = cut(ownership(found), "ownership")
     full = found.join(stats, "hash").withColumn("status", F.when(F.col("n_owners") == 1, "live").when(F.col("n_owners") >= copied, "copied").otherwise("few"))
+    full = full.withColumn("base", F.col("kind") < 3)
+    up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    down = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    full = full.withColumn("before", F.max(F.when(F.col("base"), F.col("end"))).over(up)).withColumn("after", F.min(F.when(F.col("base"), F.col("start"))).over(down))
+    clear = (F.coalesce("before", "start") <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
     span = F.struct("start", F.col("kind").alias("ord"), "end", "hash", "n_copies", "n_repos", "n_owners", "status")
-    rows = full.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("all"))
-    base = F.filter("all", lambda s: s.ord < 3)
-    clear = lambda s: ~F.exists("base", lambda b: (b.start < s.end) & (s.start < b.end))
-    rows = rows.withColumn("base", base)
-    rows = rows.select("row", F.filter("all", lambda s: (s.ord < 3) | ((s.status == "live") & clear(s))).alias("found"))
+    rows = full.where(F.col("base") | ((F.col("status") == "live") & clear)).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))
     out = scanned.select("id", "row").join(rows, "row", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("found", F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,hash:string,n_copies:bigint,n_repos:bigint,n_owners:bigint,status:string>>)")).alias("found"))
 
