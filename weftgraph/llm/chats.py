@@ -47,15 +47,23 @@ def maximal(t: DataFrame) -> DataFrame:
     return one.join(inner, ["n", "p1", "p2"], "left_anti").select("conv", "n")
 
 
-def render(t: DataFrame, kept: DataFrame, opening: str = OPEN, closing: str = CLOSE) -> DataFrame:
-    """(conv, n_turns, chat): each turn as <opening>role\\ntext<closing>\\n."""
-    line = F.concat(F.lit(opening), "role", F.lit("\n"), "text", F.lit(closing + "\n")).alias("line")
+def render(t: DataFrame, kept: DataFrame, opening: str = OPEN, closing: str = CLOSE, escape: str = "") -> DataFrame:
+    """(conv, n_turns, chat): each turn as <opening>role\\ntext<closing>\\n. `escape` is put after the first
+    character of every opening or closing found in a role or text, so that no text can forge a turn;
+    the empty default leaves texts as they are."""
+
+    def safe(c):
+        for mark in (opening, closing) if escape else ():
+            c = F.replace(c, F.lit(mark), F.lit(mark[0] + escape + mark[1:]))
+        return c
+
+    line = F.concat(F.lit(opening), safe(F.col("role")), F.lit("\n"), safe(F.col("text")), F.lit(closing + "\n")).alias("line")
     rows = t.join(kept, "conv").select("conv", F.struct("pos", line).alias("s"))
     rows = rows.groupBy("conv").agg(F.array_sort(F.collect_list("s")).alias("s"))
     return rows.select("conv", F.size("s").cast("long").alias("n_turns"), F.array_join("s.line", "").alias("chat"))
 
 
-def collapse(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
-    """(conv, n_turns, chat) of the maximal conversations."""
+def collapse(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", escape: str = "") -> DataFrame:
+    """(conv, n_turns, chat) of the maximal conversations; `escape` as in render."""
     t = cut(turns(rows, conv, turn, role, text), "turns")
-    return render(t, cut(maximal(t), "maximal")).withColumnRenamed("conv", conv)
+    return render(t, cut(maximal(t), "maximal"), escape=escape).withColumnRenamed("conv", conv)
