@@ -1,8 +1,9 @@
 """Balanced k-way partitioning by label propagation.
 
-A step is one plan: edges join labels, a histogram per vertex, scores as an array of k
-expressions whose penalties are literals, and one grouped action that returns k loads and
-demands. Random choices come from md5 of (seed, step, id), so a step gives the same labels at
+A step is one plan: the edges into vertices that changed join them, their neighbours' counts by label
+move by the difference, scores are an array of k expressions whose penalties are literals, and two
+grouped actions return k demands and k loads. What a step shuffles of the edges shrinks with the
+number of moves; counts are whole numbers, so they are those of a full histogram. Random choices come from md5 of (seed, step, id), so a step gives the same labels at
 any partitioning and after any recomputation. Lineage is cut by a written table each step.
 """
 
@@ -19,6 +20,7 @@ from ..functions.loops import cut, drop
 from ..functions.rng import ceil3, ceil3_decimal, uniform
 from ..graph import Graph
 
+HUB = 100_000  # edges of one vertex in a partition
 MODES = ("edge", "vertex", "classic", "hybrid")
 
 
@@ -61,6 +63,44 @@ def histogram(a: DataFrame, labels: DataFrame, k: int) -> DataFrame:
     return out.select("src", F.array(*[f"f{i}" for i in range(k)]).alias("f"), F.array(*[f"e{i}" for i in range(k)]).alias("ec"), "total", "active")
 
 
+def dealt(g: Graph) -> DataFrame:
+    """The edges (src, dst, salt, is_virtual, weight): those into a vertex of more than HUB neighbours have its parts as
+    salt, so that a shuffle by (dst, salt) holds at most about HUB edges of one vertex together."""
+    hubs = g.V.where(F.col("sym_deg") > HUB).select(F.col("id").alias("dst"), _salts().alias("salts"))
+    salt = F.coalesce(F.pmod(F.xxhash64("src"), F.col("salts")), F.lit(0).cast("long"))
+    return g.A.join(hubs, "dst", "left").select("src", "dst", salt.alias("salt"), "is_virtual", "weight")
+
+
+def _salts():
+    return F.ceil(F.col("sym_deg") / HUB).cast("long")
+
+
+def blank(v: DataFrame, s: Settings) -> DataFrame:
+    """Labels as a state: nothing counted yet, and every labelled vertex new to its neighbours."""
+    zeros = F.array_repeat(F.lit(0).cast("long"), s.k)
+    counts = [zeros.alias(c) for c in _counts(s)]
+    return v.select("id", "part", "out_deg", "sym_deg", F.lit(None).cast("int").alias("old"), F.col("part").isNotNull().alias("changed"), *counts, F.lit(0).cast("long").alias("total"))
+
+
+def _counts(s: Settings) -> tuple[str, ...]:
+    return ("f", "ec") if s.mode == "vertex" else ("f",)
+
+
+def told(state: DataFrame, a: DataFrame, s: Settings) -> DataFrame:
+    """The state after changed vertices told their neighbours: f, ec and total as in histogram(), from those of the step
+    before. Only edges into changed vertices are summed, and a vertex is active when it heard of any."""
+    changed = state.where("changed").select(F.col("id").alias("dst"), "old", F.col("part").alias("new"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(_salts(), F.lit(1)) - 1)).alias("salt"))
+    size = {"f": F.col("weight"), "ec": F.when(~F.col("is_virtual"), 1).otherwise(0)}
+    by = lambda c, i: F.sum(F.when(F.col("new") == i, size[c]).otherwise(0) - F.when(F.col("old") == i, size[c]).otherwise(0))
+    sums = [by(c, i).alias(f"{c}{i}") for c in _counts(s) for i in range(s.k)]
+    total = F.sum(F.when(F.col("old").isNull(), F.col("weight")).otherwise(0)).alias("more")
+    news = a.join(changed, ["dst", "salt"]).groupBy(F.col("src").alias("id")).agg(*sums, total)
+    news = news.select("id", *[F.array(*[f"{c}{i}" for i in range(s.k)]).alias(f"d{c}") for c in _counts(s)], "more")
+    heard = F.col("more").isNotNull()
+    counts = [F.when(heard, F.zip_with(c, f"d{c}", lambda x, y: x + y)).otherwise(F.col(c)).alias(c) for c in _counts(s)]
+    return state.drop("old", "changed").join(news, "id", "left").select("id", "part", "out_deg", "sym_deg", *counts, (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), heard.alias("active"))
+
+
 def load_column(mode: str):
     return F.col("sym_deg") if mode in ("classic", "hybrid") else F.col("out_deg")
 
@@ -80,6 +120,10 @@ def penalties(l: Loads, s: Settings) -> list[float]:
 
 def scored(v: DataFrame, hist: DataFrame, l: Loads, s: Settings, step: int) -> DataFrame:
     """v plus (best, score, active). A vertex without labelled neighbours keeps its label."""
+    return _scored(v.join(hist.withColumnRenamed("src", "id"), "id", "left"), l, s, step)
+
+
+def _scored(out: DataFrame, l: Loads, s: Settings, step: int, also: tuple[str, ...] = ()) -> DataFrame:
     pf = penalties(l, s)
     h = []
     for i in range(s.k):
@@ -89,21 +133,21 @@ def scored(v: DataFrame, hist: DataFrame, l: Loads, s: Settings, step: int) -> D
             h.append(F.round(base + s.lam * (s.kappa * share - (1 - s.kappa) * pf[i]), 9))
         else:
             h.append(F.round(base - s.lam * pf[i], 9))
-    out = v.join(hist.withColumnRenamed("src", "id"), "id", "left").withColumn("h", F.when(F.col("total") > 0, F.array(*h)))
+    out = out.withColumn("h", F.when(F.col("total") > 0, F.array(*h)))
     out = out.withColumn("m", F.array_max("h"))
     ties = F.filter(F.sequence(F.lit(0), F.lit(s.k - 1)), lambda i: F.get("h", i) == F.col("m"))
     pick = F.lit(0) if s.tie == "min" else F.floor(uniform(s.seed, step) * F.size("ties")).cast("int")
     out = out.withColumn("ties", F.when(F.col("m").isNotNull(), ties))
     if s.tie == "any":  # the current label has no precedence
-        return _chosen(out, F.col("m").isNull(), pick)
+        return _chosen(out, F.col("m").isNull(), pick, also)
     stay = F.col("m").isNull() | F.coalesce(F.get("h", F.col("part")) == F.col("m"), F.lit(False))
-    return _chosen(out, stay, pick)
+    return _chosen(out, stay, pick, also)
 
 
-def _chosen(out: DataFrame, stay, pick) -> DataFrame:
+def _chosen(out: DataFrame, stay, pick, also) -> DataFrame:
     best = F.when(stay, F.col("part")).otherwise(F.get("ties", pick))
     score = F.when(F.col("part").isNotNull(), F.get("h", F.col("part"))).otherwise(F.col("m"))
-    return out.select("id", "part", "out_deg", "sym_deg", best.cast("int").alias("best"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce("active", F.lit(False)).alias("active"))
+    return out.select("id", "part", "out_deg", "sym_deg", best.cast("int").alias("best"), F.coalesce(score, F.lit(0.0)).alias("score"), F.coalesce("active", F.lit(False)).alias("active"), *also)
 
 
 def demand(sc: DataFrame, s: Settings) -> DataFrame:
@@ -122,7 +166,12 @@ def migrated(sc: DataFrame, p: list[float], s: Settings, step: int) -> DataFrame
     gate = F.get(F.array(*[F.lit(float(x)) for x in p]), F.col("best"))
     moves = F.col("active") & ~F.col("best").eqNullSafe(F.col("part")) & (uniform(s.seed, step) < gate)
     moves = F.coalesce(moves, F.lit(False))
-    return sc.select("id", F.when(moves, F.col("best")).otherwise(F.col("part")).alias("part"), "out_deg", "sym_deg", moves.alias("changed"))
+    return sc.select("id", F.when(moves, F.col("best")).otherwise(F.col("part")).alias("part"), "out_deg", "sym_deg", moves.alias("changed"), F.col("part").alias("old"), *_kept(sc))
+
+
+def _kept(sc: DataFrame) -> list[str]:
+    """The counts that a state carries to the next step; none in plain scores."""
+    return [c for c in ("f", "ec", "total") if c in sc.columns]
 
 
 def init_random(v: DataFrame, s: Settings, step: int = 2) -> DataFrame:
@@ -145,7 +194,7 @@ def init_hubs(v: DataFrame, threshold: int, s: Settings, step: int = 2) -> DataF
 def first_migration(sc: DataFrame, s: Settings, step: int = 4) -> DataFrame:
     """Ungated: every change applies; what is still unlabelled gets a uniform label."""
     part = F.coalesce("best", "part", F.floor(uniform(s.seed, step) * s.k).cast("int"))
-    return sc.select("id", part.cast("int").alias("part"), "out_deg", "sym_deg", (~part.eqNullSafe(F.col("part"))).alias("changed"))
+    return sc.select("id", part.cast("int").alias("part"), "out_deg", "sym_deg", (~part.eqNullSafe(F.col("part"))).alias("changed"), F.col("part").alias("old"), *_kept(sc))
 
 
 def reset(v: DataFrame) -> DataFrame:
@@ -179,20 +228,21 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
         v = init_random(v, s)
     else:
         v = init_hubs(v, hub_threshold(g), s)
-    v, history = cut(v, "start"), []
-    a = cut(g.A.select("src", "dst", "is_virtual", "weight"), "edges").repartition("dst").persist()
+    v, history = cut(blank(v, s), "start"), []
+    a = cut(dealt(g), "edges").repartition("dst", "salt").persist()
+    also = (*_counts(s), "total")
     try:
         open_ = v.where("part is null").limit(1).count() > 0
         step = 3
         if open_:
-            sc = scored(v, histogram(a, v, s.k), loads_of(v.where("part is not null"), s), s, step)
+            sc = _scored(told(v, a, s), loads_of(v.where("part is not null"), s), s, step, also)
             v = cut(first_migration(sc, s, step + 1), "first")
             step += 2
         scores: deque[float] = deque(maxlen=max(1, (s.window + 1) // 2))
         l, old = loads_of(v, s), None
         for it in range(s.max_iterations):
-            # the labels of a step are a projection of the written scores of the step before
-            sc = cut(scored(v, histogram(a, v, s.k), l, s, step), "scored")
+            # the state of a step is a projection of the written scores of the step before
+            sc = cut(_scored(told(v, a, s), l, s, step, also), "scored")
             if old is not None:
                 drop(old)
             old = sc
