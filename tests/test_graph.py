@@ -189,6 +189,23 @@ def test_pregel_halts(spark, social):
     assert got.where("value > 1").count() > 0
 
 
+@pytest.mark.parametrize("hub", [3, 100_000])
+def test_told_counts_are_a_full_histogram(spark, social, monkeypatch, hub):
+    """Counts moved by changes only, over salted hubs or not, are those counted anew."""
+    monkeypatch.setattr(lp, "HUB", hub)
+    s, a = lp.Settings(k=4, mode="vertex"), lp.dealt(social)
+    assert a.count() == social.A.count() and (a.where("salt > 0").count() > 0) == (hub == 3)
+    first = social.V.withColumn("part", F.when(F.col("id") % 5 > 0, F.col("id") % 4).cast("int"))
+    state = lp.told(lp.blank(first, s), a, s)
+    for new in (F.coalesce("part", F.lit(1)), F.when(F.col("id") % 3 == 0, F.lit(2)).otherwise(F.col("part")).cast("int")):
+        full = lp.histogram(social.A, first.select("id", "part"), 4)
+        assert rows(state.where("total > 0"), "id", "f", "ec", "total") == rows(full.withColumnRenamed("src", "id"), "id", "f", "ec", "total")
+        moved = state.withColumns({"old": F.col("part"), "part": new}).withColumn("changed", ~F.col("part").eqNullSafe(F.col("old")))
+        first, state = moved, lp.told(moved, a, s)
+    full = lp.histogram(social.A, first.select("id", "part", "changed"), 4).withColumnRenamed("src", "id")
+    assert rows(state.where("total > 0"), "id", "f", "ec", "total", "active") == rows(full, "id", "f", "ec", "total", "active")
+
+
 def test_ties(spark, h1):
     start = spark.createDataFrame([(1, 0), (2, 0), (3, 1), (4, 1)], "id long, part int")
     for tie in ("random", "any", "min"):
