@@ -186,3 +186,16 @@ def test_escaped_turns(spark):
     df = spark.createDataFrame([(1, 1, "user", forged), (1, 2, "assistant", "no")], "conv_id long, turn long, role string, text string")
     safe = chats.collapse(df, escape="\\").first()
     assert safe.n_turns == 2 and safe.chat.count(chats.OPEN) == safe.chat.count(chats.CLOSE) == 2 and safe.chat.replace("<\\|", "<|") == chats.collapse(df).first().chat
+
+
+def test_secret_status_by_owners_and_repositories(spark):
+    """One owner: live in one repository, reused in several; several owners: few, then copied."""
+    value = {k: f"Zx9{k}Qw8Er7Ty6Ui5Op4As3Df2Gh1" for k in "abcd"}
+    rows = [("a", "o1", "r1"), ("a", "o1", "r1"), ("b", "o1", "r1"), ("b", "o1", "r2"), ("c", "o1", "r1"), ("c", "o2", "r3"), ("d", "o1", "r1"), ("d", "o2", "r3"), ("d", "o3", "r4")]
+    df = spark.createDataFrame([(i, f"see {value[k]} here", o, r) for i, (k, o, r) in enumerate(rows)], "doc_id long, text string, owner string, repo string")
+    found = secrets.find(df.withColumn("text", F.concat(F.lit("token = "), F.regexp_extract("text", "see (.*) here", 1))), repo=F.col("repo"), owner=F.col("owner"))
+    got = {x.doc_id: x.found[0] for x in found.collect()}
+    want = {"a": ("live", 1, 1), "b": ("reused", 2, 1), "c": ("few", 2, 2), "d": ("copied", 3, 3)}
+    assert {i: (x.status, x.n_repos, x.n_owners) for i, x in got.items()} == {i: want[k] for i, (k, _, _) in enumerate(rows)}
+    plain = {x.doc_id: x for x in secrets.digest(secrets.find(df, repo=F.col("repo"), owner=F.col("owner"))).collect()}
+    assert [(x.spans != "", x.n_live, x.n_reused) for _, x in sorted(plain.items())] == [(True, 1, 0)] * 2 + [(True, 1, 1)] * 2 + [(False, 0, 0)] * 5

@@ -74,15 +74,15 @@ c AS (SELECT *, sum(length(m)) OVER (PARTITION BY r, ord ORDER BY i) AS e,
       CASE WHEN ord = 0 THEN regexp_extract(m, pat, 2) ELSE m END AS v FROM x),
 f AS (SELECT r, owner, repo, ord, kind, v, CAST(e - length(m) AS BIGINT) AS s, CAST(e AS BIGINT) AS e FROM c WHERE i % 2 = 0 AND length(v) >= least
       AND (ord < 3 OR (regexp_matches(m, '[0-9]') AND regexp_matches(m, '[a-z]') AND regexp_matches(m, '[A-Z]')))),
-o AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS n FROM f GROUP BY v),
-g AS (SELECT f.*, o.n FROM f JOIN o USING (v)),
+o AS (SELECT v, count(DISTINCT coalesce(owner, '')) AS n, count(DISTINCT coalesce(repo, '')) AS repos FROM f GROUP BY v),
+g AS (SELECT f.*, o.n, o.repos FROM f JOIN o USING (v)),
 k AS (SELECT * FROM g WHERE ord < 3 OR (n = 1 AND NOT EXISTS (SELECT 1 FROM f b WHERE b.r = g.r AND b.ord < 3 AND b.s < g.e AND g.s < b.e))),
 a AS (SELECT r, count(*) FILTER (WHERE ord = 0) AS n_assign, count(*) FILTER (WHERE ord = 1) AS n_access, count(*) FILTER (WHERE ord = 2) AS n_hex,
       string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) FILTER (WHERE ord < 3) AS base,
       string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord) AS spans,
-      count(*) FILTER (WHERE n = 1) AS n_live, count(*) FILTER (WHERE n >= 3) AS n_copied FROM k GROUP BY r)
+      count(*) FILTER (WHERE n = 1) AS n_live, count(*) FILTER (WHERE n = 1 AND repos > 1) AS n_reused, count(*) FILTER (WHERE n >= 3) AS n_copied FROM k GROUP BY r)
 SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
-       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
+       sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_reused, 0) AS n_reused, coalesce(n_copied, 0) AS n_copied
 FROM d LEFT JOIN a USING (r)
 """
 

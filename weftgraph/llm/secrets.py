@@ -3,9 +3,10 @@
 Base spans come from three patterns (assign, access, hex), leftmost and non-overlapping for each
 kind; matches that fail the length rule are dropped after they were consumed. A fourth pattern,
 opaque, proposes long mixed strings. Every candidate value is hashed and aggregated over the whole
-corpus by distinct repositories and owners: a value of at least `copied` owners is a widely
-copied example, one of a single owner looks live. Opaque strings of a single owner, clear of base
-spans, are added to the spans as kind `owned`; base spans always stay.
+corpus by distinct owners and repositories: a value of at least `copied` owners is a widely
+copied example (`copied`), one of fewer but several is `few`; one of a single owner looks live, as `live` where
+a single repository has it and as `reused` where several of that owner's do. Opaque strings of a single
+owner, clear of base spans, are added to the spans as kind `owned`; base spans always stay.
 
 Offsets: each match is set between marks and the text split at them; a running sum of the part
 lengths, one window a document, gives code point offsets in time linear in the parts. Two more windows,
@@ -88,14 +89,15 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", repo=N
     scanned = cut(scan(docs, id_col, text_col, repo, owner), "scan")
     found = cut(candidates(scanned), "candidates")
     stats = cut(ownership(found), "ownership")
-    full = found.join(stats, "hash").withColumn("status", F.when(F.col("n_owners") == 1, "live").when(F.col("n_owners") >= copied, "copied").otherwise("few"))
+    own = F.when(F.col("n_repos") == 1, "live").otherwise("reused")
+    full = found.join(stats, "hash").withColumn("status", F.when(F.col("n_owners") == 1, own).when(F.col("n_owners") >= copied, "copied").otherwise("few"))
     full = full.withColumn("base", F.col("kind") < 3)
     up = Window.partitionBy("row").orderBy("start").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     down = Window.partitionBy("row").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
     full = full.withColumn("before", F.max(F.when(F.col("base"), F.col("end"))).over(up)).withColumn("after", F.min(F.when(F.col("base"), F.col("start"))).over(down))
     clear = (F.coalesce("before", "start") <= F.col("start")) & (F.coalesce("after", "end") >= F.col("end"))
     span = F.struct("start", F.col("kind").alias("ord"), "end", "hash", "n_copies", "n_repos", "n_owners", "status")
-    rows = full.where(F.col("base") | ((F.col("status") == "live") & clear)).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))
+    rows = full.where(F.col("base") | ((F.col("n_owners") == 1) & clear)).groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("found"))
     out = scanned.select("id", "row").join(rows, "row", "left")
     return out.select(F.col("id").alias(id_col), F.coalesce("found", F.expr("cast(array() as array<struct<start:bigint,ord:int,end:bigint,hash:string,n_copies:bigint,n_repos:bigint,n_owners:bigint,status:string>>)")).alias("found"))
 
@@ -109,5 +111,5 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(
         id_col, *[of(k).alias(f"n_{name}") for k, name in enumerate(("assign", "access", "hex"))],
         F.sha2(text(F.filter("found", lambda s: s.ord < 3)), 256).alias("base_sha256"), text(F.col("found")).alias("spans"),
-        count(lambda s: s.status == "live").alias("n_live"), count(lambda s: s.status == "copied").alias("n_copied"),
+        count(lambda s: s.n_owners == 1).alias("n_live"), count(lambda s: s.status == "reused").alias("n_reused"), count(lambda s: s.status == "copied").alias("n_copied"),
     )
