@@ -1,10 +1,11 @@
 """Balanced k-way partitioning by label propagation.
 
-A step is one plan: the edges into vertices that changed join them, their neighbours' counts by label
-move by the difference, scores are an array of k expressions whose penalties are literals, and two
-grouped actions return k demands and k loads. What a step shuffles of the edges shrinks with the
-number of moves; counts are whole numbers, so they are those of a full histogram. Random choices come from md5 of (seed, step, id), so a step gives the same labels at
-any partitioning and after any recomputation. Lineage is cut by a written table each step.
+A step is two jobs. The first reads the neighbour lists of vertices that moved, moves the counts of their
+neighbours by the difference, scores, and writes a table; k demands are observed as it writes. The second lets
+vertices of that table move, a projection, and sums up k loads. What a step shuffles of the edges shrinks with the
+number of moves; counts are whole numbers, so they are those of a full histogram.
+Numbers that differ by step are kept out of generated code, which is compiled once. Random choices come from md5
+of (seed, step, id), so a step gives the same labels at any partitioning and after any recomputation.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ import math
 from collections import deque
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.loops import cut, drop
@@ -21,7 +22,8 @@ from ..functions.rng import ceil3, ceil3_decimal, uniform
 from ..graph import Graph
 
 HUB = 100_000  # edges of one vertex in a partition
-MODES = ("edge", "vertex", "classic", "hybrid")
+LOAD = {"edge": "out_deg", "vertex": "out_deg", "classic": "sym_deg", "hybrid": "sym_deg"}
+MODES = tuple(LOAD)
 
 
 @dataclass
@@ -65,10 +67,18 @@ def histogram(a: DataFrame, labels: DataFrame, k: int) -> DataFrame:
 
 def dealt(g: Graph) -> DataFrame:
     """The edges (src, dst, salt, is_virtual, weight): those into a vertex of more than HUB neighbours have its parts as
-    salt, so that a shuffle by (dst, salt) holds at most about HUB edges of one vertex together."""
+    salt, so that a shuffle by (dst, salt) holds at most about HUB edges of one vertex together. Of such vertices there is
+    at most one for each HUB edges, so they are broadcast."""
     hubs = g.V.where(F.col("sym_deg") > HUB).select(F.col("id").alias("dst"), _salts().alias("salts"))
     salt = F.coalesce(F.pmod(F.xxhash64("src"), F.col("salts")), F.lit(0).cast("long"))
-    return g.A.join(hubs, "dst", "left").select("src", "dst", salt.alias("salt"), "is_virtual", "weight")
+    return g.A.join(F.broadcast(hubs), "dst", "left").select("src", "dst", salt.alias("salt"), "is_virtual", "weight")
+
+
+def gathered(a: DataFrame, s: Settings) -> DataFrame:
+    """The edges of dealt() as lists: (dst, salt, weight, srcs), and is_virtual where it counts. A row holds at most
+    about HUB neighbours; edges of as many weights as there are edges stay a row each."""
+    kind = ["is_virtual"] if "ec" in _counts(s) else []
+    return a.groupBy("dst", "salt", "weight", *kind).agg(F.collect_list("src").alias("srcs"))
 
 
 def _salts():
@@ -88,29 +98,49 @@ def _counts(s: Settings) -> tuple[str, ...]:
 
 def told(state: DataFrame, a: DataFrame, s: Settings) -> DataFrame:
     """The state after changed vertices told their neighbours: f, ec and total as in histogram(), from those of the step
-    before. Only edges into changed vertices are summed, and a vertex is active when it heard of any."""
-    changed = state.where("changed").select(F.col("id").alias("dst"), "old", F.col("part").alias("new"), F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(_salts(), F.lit(1)) - 1)).alias("salt"))
-    size = {"f": F.col("weight"), "ec": F.when(~F.col("is_virtual"), 1).otherwise(0)}
-    by = lambda c, i: F.sum(F.when(F.col("new") == i, size[c]).otherwise(0) - F.when(F.col("old") == i, size[c]).otherwise(0))
-    sums = [by(c, i).alias(f"{c}{i}") for c in _counts(s) for i in range(s.k)]
-    total = F.sum(F.when(F.col("old").isNull(), F.col("weight")).otherwise(0)).alias("more")
-    news = a.join(changed, ["dst", "salt"]).groupBy(F.col("src").alias("id")).agg(*sums, total)
-    news = news.select("id", *[F.array(*[f"{c}{i}" for i in range(s.k)]).alias(f"d{c}") for c in _counts(s)], "more")
-    heard = F.col("more").isNotNull()
-    counts = [F.when(heard, F.zip_with(c, f"d{c}", lambda x, y: x + y)).otherwise(F.col(c)).alias(c) for c in _counts(s)]
-    return state.drop("old", "changed").join(news, "id", "left").select("id", "part", "out_deg", "sym_deg", *counts, (F.col("total") + F.coalesce("more", F.lit(0))).alias("total"), heard.alias("active"))
+    before. Only edges into changed vertices are summed, and a vertex is active when it heard of any. a: rows of dealt() or
+    gathered()."""
+    to = "explode(sequence(0L, greatest(ceil(sym_deg / %d), 1) - 1)) AS salt" % HUB
+    changed = state.where("changed").selectExpr("id AS dst", "old", "part AS new", to)
+    size = {"f": "weight", "ec": "CASE WHEN is_virtual THEN 0 ELSE 1 END"}
+    by = lambda c, i: f"sum(CASE WHEN new = {i} THEN {size[c]} ELSE 0 END - CASE WHEN old = {i} THEN {size[c]} ELSE 0 END) AS {c}{i}"
+    sums = [F.expr(by(c, i)) for c in _counts(s) for i in range(s.k)]
+    heard = a.join(changed, ["dst", "salt"])
+    if "srcs" in a.columns:
+        heard = heard.withColumn("src", F.explode("srcs"))
+    news = heard.groupBy(F.col("src").alias("id")).agg(*sums, F.expr("sum(CASE WHEN old IS NULL THEN weight ELSE 0 END) AS more"))
+    counts = [f"CASE WHEN more IS NULL THEN {c} ELSE array({', '.join(f'get({c}, {i}) + {c}{i}' for i in range(s.k))}) END AS {c}" for c in _counts(s)]
+    out = state.drop("old", "changed").join(news, "id", "left")
+    return out.selectExpr("id", "part", "out_deg", "sym_deg", *counts, "total + coalesce(more, 0) AS total", "more IS NOT NULL AS active")
 
 
 def load_column(mode: str):
-    return F.col("sym_deg") if mode in ("classic", "hybrid") else F.col("out_deg")
+    return F.col(LOAD[mode])
 
 
 def loads_of(v: DataFrame, s: Settings) -> Loads:
     """One action: k rows."""
-    got = {r[0]: (r[1], r[2]) for r in v.groupBy("part").agg(F.sum(load_column(s.mode)), F.count("*")).collect()}
-    total, n = sum(x[0] or 0 for x in got.values()), sum(x[1] for x in got.values())
-    cap = n if s.mode == "vertex" else total
-    return Loads([int((got.get(i) or (0, 0))[0] or 0) for i in range(s.k)], [int((got.get(i) or (0, 0))[1]) for i in range(s.k)], math.floor(cap * (1 + s.slack) / s.k + 0.5), n)
+    return moved_loads(v.withColumn("changed", F.lit(False)), s)[0]
+
+
+def moved_loads(v: DataFrame, s: Settings) -> tuple[Loads, int]:
+    """Loads, and the number of changed vertices. One action: a row of 2 k + 3 numbers."""
+    size = load_column(s.mode)
+    sums = [f"sum(CASE WHEN part = {i} THEN size END)" for i in range(s.k)] + [f"count_if(part = {i})" for i in range(s.k)]
+    got = v.select("part", size.alias("size"), "changed").selectExpr(*sums, "sum(size)", "count(*)", "count_if(changed)").first()
+    *each, total, n, moved = (int(x or 0) for x in got)
+    return Loads(each[: s.k], each[s.k :], math.floor((n if s.mode == "vertex" else total) * (1 + s.slack) / s.k + 0.5), n), moved
+
+
+def asked(sc: DataFrame, s: Settings, name: str) -> tuple[DataFrame, dict[int, int], float]:
+    """Scores as a written table, the demand for each label that active vertices would move to, and the sum of the scores,
+    both summed up as it is written."""
+    seen, size = Observation(), "1L" if s.mode == "vertex" else LOAD[s.mode]
+    asks = "active AND NOT best <=> part"
+    sums = [F.expr(f"sum(CASE WHEN {asks} AND best = {i} THEN {size} END) AS d{i}") for i in range(s.k)]
+    out = cut(sc.observe(seen, F.sum("score").alias("score"), *sums), name)
+    got = seen.get
+    return out, {i: int(got[f"d{i}"]) for i in range(s.k) if got[f"d{i}"] is not None}, got["score"] or 0.0
 
 
 def penalties(l: Loads, s: Settings) -> list[float]:
@@ -124,16 +154,17 @@ def scored(v: DataFrame, hist: DataFrame, l: Loads, s: Settings, step: int) -> D
 
 
 def _scored(out: DataFrame, l: Loads, s: Settings, step: int, also: tuple[str, ...] = ()) -> DataFrame:
-    pf = penalties(l, s)
-    h = []
+    # the ordinal is one that Spark cannot fold (f has k entries), so the penalties of a step stay a reference of the generated code
+    pf = [f"get(array({', '.join(_double(x) for x in penalties(l, s))}), size(f) - {s.k - i})" for i in range(s.k)]
+    lam, h = _double(s.lam), []
     for i in range(s.k):
-        base = F.lit(s.lam) + F.try_divide(F.col("f")[i].cast("double"), F.col("total").cast("double"))
+        base = f"{lam} + try_divide(CAST(get(f, {i}) AS DOUBLE), CAST(total AS DOUBLE))"
         if s.mode == "vertex":
-            share = F.coalesce(F.try_divide(F.col("ec")[i].cast("double"), F.col("out_deg").cast("double")), F.lit(0.0))
-            h.append(F.round(base + s.lam * (s.kappa * share - (1 - s.kappa) * pf[i]), 9))
+            share = f"coalesce(try_divide(CAST(get(ec, {i}) AS DOUBLE), CAST(out_deg AS DOUBLE)), 0D)"
+            h.append(f"round({base} + {lam} * ({_double(s.kappa)} * {share} - {_double(1 - s.kappa)} * {pf[i]}), 9)")
         else:
-            h.append(F.round(base - s.lam * pf[i], 9))
-    out = out.withColumn("h", F.when(F.col("total") > 0, F.array(*h)))
+            h.append(f"round({base} - {lam} * {pf[i]}, 9)")
+    out = out.withColumn("h", F.expr(f"CASE WHEN total > 0 THEN array({', '.join(h)}) END"))
     out = out.withColumn("m", F.array_max("h"))
     ties = F.filter(F.sequence(F.lit(0), F.lit(s.k - 1)), lambda i: F.get("h", i) == F.col("m"))
     pick = F.lit(0) if s.tie == "min" else F.floor(uniform(s.seed, step) * F.size("ties")).cast("int")
@@ -144,6 +175,11 @@ def _scored(out: DataFrame, l: Loads, s: Settings, step: int, also: tuple[str, .
     return _chosen(out, stay, pick, also)
 
 
+def _double(x: float) -> str:
+    """The literal of exactly this number."""
+    return f"CAST('{float(x)!r}' AS DOUBLE)"
+
+
 def _chosen(out: DataFrame, stay, pick, also) -> DataFrame:
     best = F.when(stay, F.col("part")).otherwise(F.get("ties", pick))
     score = F.when(F.col("part").isNotNull(), F.get("h", F.col("part"))).otherwise(F.col("m"))
@@ -221,38 +257,36 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
     classic starts at random, the other modes from hubs. on_step(step, metrics) may return True to stop."""
     if s.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
-    v = g.V.select("id", "out_deg", "sym_deg")
+    g = Graph(cut(g.V.select("id", "out_deg", "sym_deg"), "vertices"), g.A, g.E)
+    v = g.V
     if labels is not None:
         v = v.join(labels.select("id", "part"), "id", "left")
     elif s.mode == "classic":
         v = init_random(v, s)
     else:
         v = init_hubs(v, hub_threshold(g), s)
-    v, history = cut(blank(v, s), "start"), []
-    a = cut(dealt(g), "edges").repartition("dst", "salt").persist()
+    v, history = blank(v, s), []
+    edges = cut(gathered(dealt(g), s), "edges")
+    parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = edges.repartition(parts, "dst", "salt").sortWithinPartitions("dst", "salt").persist()
     also = (*_counts(s), "total")
     try:
-        open_ = v.where("part is null").limit(1).count() > 0
-        step = 3
-        if open_:
-            sc = _scored(told(v, a, s), loads_of(v.where("part is not null"), s), s, step, also)
-            v = cut(first_migration(sc, s, step + 1), "first")
+        step, old = 3, None
+        if v.where("part is null").limit(1).count() > 0:
+            old, _, _ = asked(_scored(told(v, a, s), loads_of(v.where("part is not null"), s), s, step, also), s, "first")
+            v = first_migration(old, s, step + 1)
             step += 2
         scores: deque[float] = deque(maxlen=max(1, (s.window + 1) // 2))
-        l, old = loads_of(v, s), None
+        l, _ = moved_loads(v, s)
         for it in range(s.max_iterations):
             # the state of a step is a projection of the written scores of the step before
-            sc = cut(_scored(told(v, a, s), l, s, step, also), "scored")
+            sc, wanted, score = asked(_scored(told(v, a, s), l, s, step, also), s, "scored")
             if old is not None:
                 drop(old)
             old = sc
-            got = sc.groupBy((F.col("active") & ~F.col("best").eqNullSafe(F.col("part"))).alias("asks"), "best").agg(F.sum(F.lit(1).cast("long") if s.mode == "vertex" else load_column(s.mode)), F.sum("score")).collect()
-            wanted = {r[1]: int(r[2]) for r in got if r[0] and r[1] is not None}
-            score = sum(r[3] for r in got)
             v = migrated(sc, gates(l, wanted, s), s, step + 1)
-            by = {r[0]: r[1:] for r in v.groupBy("part").agg(F.sum(load_column(s.mode)), F.count("*"), F.sum(F.col("changed").cast("long"))).collect()}
-            moved = sum(int(x[2]) for x in by.values())
-            l.load, l.count = ([int((by.get(i) or (0, 0))[c] or 0) for i in range(s.k)] for c in (0, 1))
+            now, moved = moved_loads(v, s)
+            l.load, l.count = now.load, now.count
             total = sum(l.load)
             m = {"step": step, "score": score, "migrations": moved, "max_mean": max(l.load) * s.k / total if total else None, "load": list(l.load), "count": list(l.count)}
             history.append(m)
@@ -266,3 +300,4 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
         return cut(v.select("id", "part"), "labels"), history
     finally:
         a.unpersist()
+        drop(edges)
