@@ -43,3 +43,18 @@ def test_lists_hold_every_edge(spark, mixed, monkeypatch, mode, hub):
     state = lp.blank(lp.init_random(mixed.V, s), s)
     counted = [sorted(map(str, lp.told(state, x, s).collect())) for x in (a, lists)]
     assert counted[0] == counted[1]
+
+
+def test_pairs_make_the_same_graph(spark):
+    """Repeated and reversed edges, loops, null ends, no edges."""
+    from weftgraph.graph import pairs
+
+    r = random.Random(5)
+    some = [(r.randrange(30), r.randrange(30)) for _ in range(300)] + [(None, 1), (2, None), (40, 40), (7, 50), (7, 50)]
+    for rows in (some, []):
+        e = spark.createDataFrame(rows, "src long, dst long")
+        p = pairs(e)
+        one, two = Graph.of(e, weight=3), Graph.of_pairs(p, weight=3)
+        assert p.count() == len({tuple(sorted(x)) for x in rows if None not in x})
+        for a, b in ((one.V, two.V), (one.A, two.A), (one.E, two.E)):
+            assert a.columns == b.columns and a.dtypes == b.dtypes and sorted(a.collect()) == sorted(b.collect())

@@ -64,6 +64,13 @@ def reverse_union(edges: DataFrame) -> DataFrame:
     return edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
 
 
+def pairs(edges: DataFrame) -> DataFrame:
+    """(a, b, there, back) once for each two ends, a <= b: whether a -> b and whether b -> a is an edge. What is shuffled
+    stands for both directions; repeated edges and null ends drop out."""
+    e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
+    return e.groupBy(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).agg(F.expr("max(src <= dst) AS there"), F.expr("max(src >= dst) AS back"))
+
+
 @dataclass
 class Graph:
     """V(id, out_deg, in_deg, sym_deg, declared), A(src, dst, is_virtual, weight), E(src, dst)."""
@@ -77,10 +84,18 @@ class Graph:
         e = edge_dedup(edges)
         return cls(degrees(e, vertices), symmetrize(e, weight), e)
 
+    @classmethod
+    def of_pairs(cls, p: DataFrame, weight: int = 1) -> Graph:
+        """The same graph over the rows of pairs(), a written table: no edge is shuffled, V is a sum by vertex."""
+        ends = p.selectExpr("inline(CASE WHEN a = b THEN array(struct(a AS src, b AS dst, there AS o, back AS i)) ELSE array(struct(a AS src, b AS dst, there AS o, back AS i), struct(b AS src, a AS dst, back AS o, there AS i)) END)")
+        v = ends.groupBy(F.col("src").alias("id")).agg(F.count_if("o").alias("out_deg"), F.count_if("i").alias("in_deg"), F.count("*").alias("sym_deg"))
+        a = ends.select("src", "dst", (~F.col("o")).alias("is_virtual"), F.when(F.col("o"), weight).otherwise(1).cast("int").alias("weight"))
+        return cls(v.withColumn("declared", F.col("out_deg") > 0), a, ends.where("o").select("src", "dst"))
+
 
-def from_tables(spark: SparkSession, sf_dir: str, name: str = "ps") -> DataFrame:
+def from_tables(spark: SparkSession, sf_dir: str, name: str = "ps", once: bool = True) -> DataFrame:
     """Edges of a graph over the star schema: ps (part, supplier), cp (customer, part), chain
-    (parts of an order in turn), uu (users in turn)."""
+    (parts of an order in turn), uu (users in turn). once: each edge once, else as often as the tables have it, null ends too."""
     read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
     far = F.lit(1_000_000_000).cast("long")
     if name == "ps":
@@ -91,7 +106,7 @@ def from_tables(spark: SparkSession, sf_dir: str, name: str = "ps") -> DataFrame
         from pyspark.sql import Window
 
         w = Window.partitionBy("l_orderkey").orderBy("l_partkey")
-        li = read("lineitem").select("l_orderkey", "l_partkey").distinct()
+        li = read("lineitem").select("l_orderkey", "l_partkey").repartition("l_orderkey").distinct()  # one shuffle, the window's
         out = li.select(F.col("l_partkey").alias("src"), F.lead("l_partkey").over(w).alias("dst"))
     elif name == "uu":
         from .operators.windows import global_lead
@@ -99,7 +114,7 @@ def from_tables(spark: SparkSession, sf_dir: str, name: str = "ps") -> DataFrame
         out = global_lead(read("events").select("ts", "event_id", F.col("user_id").alias("src")), ["ts", "event_id"], "src", "dst").select("src", "dst").where("src <> dst")
     else:
         raise ValueError(f"no graph named {name}")
-    return edge_dedup(out)
+    return edge_dedup(out) if once else out
 
 
 SQL = {  # the same graphs for DuckDB

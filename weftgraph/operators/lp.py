@@ -168,11 +168,10 @@ def _scored(out: DataFrame, l: Loads, s: Settings, step: int, also: tuple[str, .
     out = out.withColumn("m", F.array_max("h"))
     ties = F.filter(F.sequence(F.lit(0), F.lit(s.k - 1)), lambda i: F.get("h", i) == F.col("m"))
     pick = F.lit(0) if s.tie == "min" else F.floor(uniform(s.seed, step) * F.size("ties")).cast("int")
-    out = out.withColumn("ties", F.when(F.col("m").isNotNull(), ties))
-    if s.tie == "any":  # the current label has no precedence
-        return _chosen(out, F.col("m").isNull(), pick, also)
-    stay = F.col("m").isNull() | F.coalesce(F.get("h", F.col("part")) == F.col("m"), F.lit(False))
-    return _chosen(out, stay, pick, also)
+    stay = F.col("m").isNull()
+    if s.tie != "any":  # there the current label has no precedence
+        stay = stay | F.coalesce(F.get("h", F.col("part")) == F.col("m"), F.lit(False))
+    return _chosen(out.withColumn("ties", F.when(~stay, ties)), stay, pick, also)
 
 
 def _double(x: float) -> str:
@@ -266,9 +265,8 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
     else:
         v = init_hubs(v, hub_threshold(g), s)
     v, history = blank(v, s), []
-    edges = cut(gathered(dealt(g), s), "edges")
     parts = int(v.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    a = edges.repartition(parts, "dst", "salt").sortWithinPartitions("dst", "salt").persist()
+    a = gathered(dealt(g).repartition(parts, "dst", "salt"), s).sortWithinPartitions("dst", "salt").persist()
     also = (*_counts(s), "total")
     try:
         step, old = 3, None
@@ -300,4 +298,3 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
         return cut(v.select("id", "part"), "labels"), history
     finally:
         a.unpersist()
-        drop(edges)
