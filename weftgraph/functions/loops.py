@@ -8,6 +8,8 @@ import uuid
 
 from pyspark.sql import DataFrame
 
+ROW_GROUP = 8 << 20  # bytes
+
 
 def shared_dir(spark) -> str:
     """spark.checkpoint.dir where the cluster names one, else, on a local master only, a folder under the temp folder."""
@@ -25,10 +27,11 @@ def _home(spark) -> str:
 
 
 def cut(df: DataFrame, name: str = "step") -> DataFrame:
-    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors."""
+    """Write df as a table in the shared folder and read it again: cuts the lineage, survives lost executors.
+    A task holds a row group in memory, when it writes and when it reads."""
     spark = df.sparkSession
     path = f"{_home(spark)}/{uuid.uuid4().hex}-{name}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._weft_path = path
     return out

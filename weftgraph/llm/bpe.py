@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, small_batches
+from .common import KEPT, lean, slices, small_batches
 
 CACHE_CHARS = 64  # longer pieces are not kept
 CACHE_PIECES = 150_000
@@ -233,11 +233,11 @@ class Bpe:
         return b"".join(map(self.tokens.__getitem__, ids))
 
 
-_made: dict[tuple, Bpe] = {}
+_made: dict[tuple, Bpe] = KEPT.setdefault("bpe", {})
 
 
 def _coder(tokens: list[bytes], pattern: str) -> Bpe:
-    """One coder in each worker, kept between tasks."""
+    """One coder in each worker, kept between tasks until another operator has one there."""
     key = (len(tokens), hashlib.sha256(b"\n".join(tokens)).digest(), pattern)
     if key not in _made:
         _made.clear()
@@ -271,7 +271,7 @@ def encode(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, pa.list_(pa.int32()))], names=["id", "ids"])
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return out.mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run, "bpe"), f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -286,7 +286,7 @@ def decode(coded: DataFrame, vocabulary: str, id_col: str = "doc_id", ids_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got, pa.binary())], names=["id", "bytes"])
 
     out = coded.select(F.col(id_col).alias("id"), F.col(ids_col).cast("array<int>").alias("ids"))
-    return out.mapInArrow(run, f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run, "bpe"), f"id {kind}, bytes binary").withColumnRenamed("id", id_col)
 
 
 def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -312,4 +312,4 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     out = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     schema = f"id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return out.mapInArrow(run, schema).withColumnRenamed("id", id_col)
+    return out.mapInArrow(lean(run, "bpe"), schema).withColumnRenamed("id", id_col)

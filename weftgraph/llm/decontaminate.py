@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import PARTS, col, cut, drop, emit, row_key, slices, small_batches, summed, without
+from .common import PARTS, col, cut, drop, emit, lean, row_key, slices, small_batches, summed, without
 from .quality import STRIP
 
 PASSAGE, STRIDE, EXTRA, ANSWER = 64, 16, 16, 5
@@ -213,7 +213,7 @@ def tokenised(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield counts()
 
     picked = docs.select(col(id_col).alias("id"), row_key(col(id_col), col(text_col)).alias("row"), col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, f"id {kind}, row binary, ids binary, bucket int, words binary, n binary")
+    return picked.mapInArrow(lean(run), f"id {kind}, row binary, ids binary, bucket int, words binary, n binary")
 
 
 def document_counts(both: DataFrame, own: np.ndarray, most: float) -> DataFrame:
@@ -240,7 +240,7 @@ def document_counts(both: DataFrame, own: np.ndarray, most: float) -> DataFrame:
         yield from map(out, found.values())
 
     rows = both.where("bucket is not null").select("bucket", "words", "n")
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, "word long, n long, own boolean")
+    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(lean(run), "word long, n long, own boolean")
 
 
 class Vocabulary:
@@ -356,7 +356,7 @@ def latent_space(coded: DataFrame, voc: Vocabulary, rank: int = LATENT, seed: in
 
     if not width:
         return np.zeros((size, 0))
-    y = summed(coded.select("ids").mapInArrow(run, PARTS), size, width)
+    y = summed(coded.select("ids").mapInArrow(lean(run), PARTS), size, width)
     scale = np.linalg.norm(y)
     if scale < 1e-9:
         return np.zeros((size, 0))
@@ -502,7 +502,7 @@ def search(coded: DataFrame, index: Index, kind: str, item_kind: str) -> DataFra
             out = [b.column(0).take(at), b.column(1).take(at), item, *(pa.array(list(c), t) for c, t in zip(cols, (pa.float64(), pa.float64(), pa.int64())))]
             yield pa.RecordBatch.from_arrays(out, names=["id", "row", "item", "cosine", "lcs_share", "start_word"])
 
-    return coded.select("id", "row", "ids").mapInArrow(run, f"id {kind}, row binary, item {item_kind}, cosine double, lcs_share double, start_word long")
+    return coded.select("id", "row", "ids").mapInArrow(lean(run), f"id {kind}, row binary, item {item_kind}, cosine double, lcs_share double, start_word long")
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text",

@@ -47,7 +47,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, PARTS, col, components, cut, emit, only, slices, small_batches, summed, without
+from .common import BROADCAST_ROWS, PARTS, col, components, cut, emit, lean, only, slices, small_batches, summed, without
 
 BUCKETS = 21  # bits of the sketch
 CELL_BLOCK, LEAF, FAN, COARSE, SALT_ROWS = 2048, 16, 8, 64, 65_536
@@ -183,7 +183,7 @@ def described(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(c, t) for c, t in zip(out, types)]], names=["id", "n", "d0", "d1", "point", "set"])
 
     picked = docs.select(col(id_col).cast("long").alias("id"), col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "id long, n long, d0 long, d1 long, point binary, set binary")
+    return picked.mapInArrow(lean(run), "id long, n long, d0 long, d1 long, point binary, set binary")
 
 
 def frequency_classes(own: DataFrame) -> np.ndarray:
@@ -197,7 +197,7 @@ def frequency_classes(own: DataFrame) -> np.ndarray:
                 total[:, 0] += np.bincount(np.concatenate(flat), minlength=1 << BUCKETS)
         yield emit(total)
 
-    total = summed(own.select("set").mapInArrow(run, PARTS), 1 << BUCKETS, 1)[:, 0]
+    total = summed(own.select("set").mapInArrow(lean(run), PARTS), 1 << BUCKETS, 1)[:, 0]
     mean = total.mean()
     return np.where(total > mean + 6 * math.sqrt(mean) + 8, np.minimum(total, 2**31 - 1), 0).astype(np.int32)
 
@@ -226,7 +226,7 @@ def dealt(own: DataFrame, classes: np.ndarray, pct: int) -> DataFrame:
                 arrays = [pa.array(np.concatenate(tokens)), pa.array(i), pa.array(salt.astype(np.int32)), pa.array(c > 0)]
                 yield pa.RecordBatch.from_arrays(arrays, names=["token", "id", "salt", "hot"])
 
-    return own.select("id", "set").mapInArrow(run, "token long, id long, salt int, hot boolean")
+    return own.select("id", "set").mapInArrow(lean(run), "token long, id long, salt int, hot boolean")
 
 
 def shared(rows: DataFrame, pct: int) -> DataFrame:
@@ -256,7 +256,7 @@ def shared(rows: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(left[0][k]) for k in (3, 1, 2)], names=["token", "id", "hot"])
 
     dealt_out = rows.repartition(F.shiftright("token", BAND_BITS), "salt").sortWithinPartitions("token", "id").select("token", "id", "hot")
-    return dealt_out.mapInArrow(run, "token long, id long, hot boolean")
+    return dealt_out.mapInArrow(lean(run), "token long, id long, hot boolean")
 
 
 def with_cells(rows: DataFrame, cells: DataFrame) -> DataFrame:
@@ -339,7 +339,7 @@ def absorbed(rows: DataFrame, pct: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(arrays, names=["token", "hot", "id", "rep"])
 
     rows = rows.select("token", "hot", "block", "many", "id", "n", "point").repartition("token", "block").sortWithinPartitions("token", "block", "id")
-    return rows.mapInArrow(run, "token long, hot boolean, id long, rep long")
+    return rows.mapInArrow(lean(run), "token long, hot boolean, id long, rep long")
 
 
 def cell_search(rows: DataFrame, pct: int) -> DataFrame:
@@ -360,7 +360,7 @@ def cell_search(rows: DataFrame, pct: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*sorted(out)) if out else ([], []))], names=["a", "b"])
 
     rows = rows.repartition("token", "block", "turn").sortWithinPartitions("token", "block", "turn", "id")
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(lean(run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, own: DataFrame, pct: int) -> DataFrame:
@@ -384,7 +384,7 @@ def verified(pairs: DataFrame, own: DataFrame, pct: int) -> DataFrame:
     sets = only(own.select("id", "set"), ids, "left_semi", "id")
     both = pairs.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
     both = both.join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long, overlap long")
+    return both.select("a", "b", "x", "y").mapInArrow(lean(run), "a long, b long, overlap long")
 
 
 def _block(id_col: str, c):

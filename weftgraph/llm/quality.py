@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import col, cut, row_key, slices, small_batches, without
+from .common import col, cut, lean, row_key, slices, small_batches, without
 
 SAMPLE_ROWS, WORDS, THRESHOLD = 8000, 1000, 0.5
 CACHE_WORDS = 250_000
@@ -147,7 +147,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             got = [f.of(t).tolist() for t in b.column(0).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(got, pa.list_(pa.int64())), b.column(1).cast(pa.int64()), b.column(2).cast(pa.int64())], names=["x", "q", "t"])
 
-    got = rows.mapInArrow(features, "x array<long>, q long, t long").toArrow()  # sample_rows rows at most
+    got = rows.mapInArrow(lean(features), "x array<long>, q long, t long").toArrow()  # sample_rows rows at most
     x = [np.array(r, np.int64) for r in got["x"].to_pylist()]
     q, t = got["q"].to_numpy().astype(float), got["t"].to_numpy().astype(float)
     size = Features(vocabulary).size
@@ -173,7 +173,7 @@ def evidence(docs: DataFrame, model: dict, id_col: str, text_col: str, host_col:
         col(id_col).alias("id"), col(host_col).cast("string").alias("host"), col(path_col).cast("string").alias("path"),
         own_key(id_col, text_col, host_col, path_col).alias("row"), col(text_col).cast("string").alias("text"),
     )
-    return picked.mapInArrow(run, f"id {kind}, host string, path string, row binary, poor double, toxic double")
+    return picked.mapInArrow(lean(run), f"id {kind}, host string, path string, row binary, poor double, toxic double")
 
 
 def own_key(*names: str):
