@@ -18,7 +18,8 @@ for each. Candidate pairs come from cells, so that no task sees the whole corpus
    searches the R-tree of the block's representatives. One that can reach a representative makes
    a pair with the nearest (by the bound) and is absorbed; any other becomes a representative and
    goes into the tree. The representatives of a cell of many blocks are searched again, as a smaller
-   cell, for as long as that halves them. Pairs are verified on their sets; the links make components.
+   cell, for as long as that halves them. Then the pairs of all levels are verified on their sets, once; the links
+   make components.
 5. Second search, for what absorption may have hidden: in cells that absorbed a member or have many
    blocks, and whose members are not all of one component, all members outside the cell's
    largest component are searched in the trees of all its blocks, for members of other components.
@@ -401,19 +402,19 @@ def links(own: DataFrame, pct: int = 80) -> DataFrame:
     kept = cut(about.groupBy("c", "low", "x", "x2").agg(F.min("token").alias("token")).select("token", "c"), "kept")
     members = cut(with_cells(cells, kept), "members")  # (token, id, hot, c)
     points = cut(only(own.select("id", "n", "point"), cut(members.select("id").distinct(), "listed"), "left_semi", "id"), "points")
-    level, found, first = members, None, None
+    level, pairs, first = members, None, None
     while True:
         out = cut(absorbed(level.select("token", "hot", "id", *_block("id", F.col("c"))).join(points, "id"), pct), "absorbed")
         first = out if first is None else first
-        pairs = out.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b")).distinct()
-        got = cut(verified(pairs, own, pct), "tree-links")
-        found = got if found is None else found.union(got)
+        got = out.where("id <> rep").select(F.least("id", "rep").alias("a"), F.greatest("id", "rep").alias("b"))
+        pairs = got if pairs is None else pairs.union(got)
         again = out.where("id = rep").select("token", "hot", "id")
         fewer = again.groupBy("token").agg(F.count("*").alias("d"))
         fewer = cut(with_cells(level.select("token", "hot", "c").distinct(), fewer).where("2 * d <= c and d > 1").select("token", F.col("d").alias("c")), "fewer")
         if not fewer.limit(1).count():
             break
         level = cut(with_cells(again, fewer), "representatives")
+    found = cut(verified(pairs.distinct(), own, pct), "tree-links")
     # what absorption may have hidden
     comp = cut(components(found), "comp")
     open_ = cut(first.select("token").distinct(), "open")
@@ -440,9 +441,8 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", pct: i
     narrow = sets.select("id", "n", "d0", "d1")
     full = narrow.where("id is not null and n > 0")
     reps = cut(full.groupBy("d0", "d1").agg(F.min("id").alias("rep")), "classes")
-    named = full.join(reps, ["d0", "d1"]).select("id", "n", "rep")
+    named = cut(full.join(reps, ["d0", "d1"]).select("id", "n", "rep"), "named")
     copies = cut(named.where("id <> rep").select("id").distinct(), "copies")
-    named = cut(named, "named")
     own = only(sets.where("id is not null and n > 0").select("id", "n", "point", "set"), copies, "left_anti", "id")
     comp = cut(components(links(own, pct)), "components")
     out = named.join(comp.select(F.col("id").alias("rep"), "comp"), "rep", "left")
