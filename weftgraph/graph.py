@@ -73,17 +73,26 @@ def pairs(edges: DataFrame) -> DataFrame:
 
 @dataclass
 class Graph:
-    """V(id, out_deg, in_deg, sym_deg, declared), A(src, dst, is_virtual, weight), E(src, dst)."""
+    """V(id, out_deg, in_deg, sym_deg, declared), A(src, dst, is_virtual, weight), E(src, dst).
+    raw: the edges as they came, where an operator may prepare them in its own way; weight: of real edges then."""
 
     V: DataFrame
     A: DataFrame
     E: DataFrame
+    raw: DataFrame | None = None
+    weight: int = 1
 
     @classmethod
     def of(cls, edges: DataFrame, vertices: DataFrame | None = None, weight: int = 1) -> Graph:
         e = edge_dedup(edges)
         return cls(degrees(e, vertices), symmetrize(e, weight), e)
 
+    @classmethod
+    def of_raw(cls, edges: DataFrame, weight: int = 1) -> Graph:
+        """The same graph, nothing of it written or computed yet."""
+        g = cls.of(edges, weight=weight)
+        return cls(g.V, g.A, g.E, edges, weight)
+
     @classmethod
     def of_pairs(cls, p: DataFrame, weight: int = 1) -> Graph:
         """The same graph over the rows of pairs(), a written table: no edge is shuffled, V is a sum by vertex."""

@@ -19,7 +19,8 @@ from pyspark.sql import functions as F
 
 from ..functions.loops import cut, drop
 from ..functions.rng import ceil3, ceil3_decimal, uniform
-from ..graph import Graph
+from ..graph import Graph, pairs
+from . import packed
 
 HUB = 100_000  # edges of one vertex in a partition
 LOAD = {"edge": "out_deg", "vertex": "out_deg", "classic": "sym_deg", "hybrid": "sym_deg"}
@@ -129,7 +130,11 @@ def moved_loads(v: DataFrame, s: Settings) -> tuple[Loads, int]:
     sums = [f"sum(CASE WHEN part = {i} THEN size END)" for i in range(s.k)] + [f"count_if(part = {i})" for i in range(s.k)]
     got = v.select("part", size.alias("size"), "changed").selectExpr(*sums, "sum(size)", "count(*)", "count_if(changed)").first()
     *each, total, n, moved = (int(x or 0) for x in got)
-    return Loads(each[: s.k], each[s.k :], math.floor((n if s.mode == "vertex" else total) * (1 + s.slack) / s.k + 0.5), n), moved
+    return Loads(each[: s.k], each[s.k :], capacity(n if s.mode == "vertex" else total, s), n), moved
+
+
+def capacity(total: int, s: Settings) -> int:
+    return math.floor(total * (1 + s.slack) / s.k + 0.5)
 
 
 def asked(sc: DataFrame, s: Settings, name: str) -> tuple[DataFrame, dict[int, int], float]:
@@ -251,11 +256,36 @@ def repartition(labels: DataFrame, k: int, r: int, seed: int = 1, step: int = 2)
     return labels.withColumn("part", part)
 
 
+class Window:
+    """The last scores; they are level when the best of them and a new one differ by less than the threshold."""
+
+    def __init__(self, s: Settings):
+        self.scores: deque[float] = deque(maxlen=max(1, (s.window + 1) // 2))
+        self.threshold = s.threshold
+
+    def level(self, it: int, score: float) -> bool:
+        most = max(self.scores, default=0)
+        self.scores.append(score)
+        return it > 2 and most != 0 and abs(1 - score / most) < self.threshold
+
+
+def told_of(step: int, score: float, moved: int, l: Loads, s: Settings) -> dict:
+    """A step as history and on_step have it."""
+    total = sum(l.load)
+    return {"step": step, "score": score, "migrations": moved, "max_mean": max(l.load) * s.k / total if total else None, "load": list(l.load), "count": list(l.count)}
+
+
 def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) -> tuple[DataFrame, list[dict]]:
     """(labels, history). labels: optional (id, part) to start from, null parts allowed; without it
-    classic starts at random, the other modes from hubs. on_step(step, metrics) may return True to stop."""
+    classic starts at random, the other modes from hubs. on_step(step, metrics) may return True to stop.
+    A graph of Graph.of_raw() is packed where packed.lists() can hold it, with the same labels."""
     if s.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
+    if g.raw is not None:
+        table = packed.lists(g.raw) if labels is None and s.k <= packed.MOST_K else None
+        if table is not None:
+            return packed.run(table, g.weight, s, on_step)
+        g = Graph.of_pairs(cut(pairs(g.raw), "pairs"), g.weight)
     g = Graph(cut(g.V.select("id", "out_deg", "sym_deg"), "vertices"), g.A, g.E)
     v = g.V
     if labels is not None:
@@ -274,7 +304,7 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
             old, _, _ = asked(_scored(told(v, a, s), loads_of(v.where("part is not null"), s), s, step, also), s, "first")
             v = first_migration(old, s, step + 1)
             step += 2
-        scores: deque[float] = deque(maxlen=max(1, (s.window + 1) // 2))
+        window = Window(s)
         l, _ = moved_loads(v, s)
         for it in range(s.max_iterations):
             # the state of a step is a projection of the written scores of the step before
@@ -285,13 +315,9 @@ def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) ->
             v = migrated(sc, gates(l, wanted, s), s, step + 1)
             now, moved = moved_loads(v, s)
             l.load, l.count = now.load, now.count
-            total = sum(l.load)
-            m = {"step": step, "score": score, "migrations": moved, "max_mean": max(l.load) * s.k / total if total else None, "load": list(l.load), "count": list(l.count)}
-            history.append(m)
-            stop = bool(on_step and on_step(step, m))
-            if it > 2 and scores and max(scores) != 0 and abs(1 - score / max(scores)) < s.threshold:
-                stop = True
-            scores.append(score)
+            history.append(told_of(step, score, moved, l, s))
+            stop = bool(on_step and on_step(step, history[-1]))
+            stop = window.level(it, score) or stop
             step += 2
             if stop or (moved == 0 and not wanted):
                 break

@@ -45,9 +45,9 @@ def _g(spark, d, name="chain") -> Graph:
     return Graph.of(cut(_e(spark, d, name), "graph"))
 
 
-def _pairs(spark, d, name="chain") -> Graph:
-    """The same graph over one written list of pairs: of the edges only what a query gathers is shuffled again."""
-    return Graph.of_pairs(cut(graph.pairs(from_tables(spark, d, name, once=False)), "pairs"))
+def _raw(spark, d, name="chain") -> Graph:
+    """The same graph over the edges as often as the tables have them: lp.run prepares them once."""
+    return Graph.of_raw(from_tables(spark, d, name, once=False))
 
 
 def _lab(g: Graph) -> DataFrame:
@@ -278,12 +278,12 @@ SELECT id, part FROM run WHERE step = (SELECT max(step) FROM run)"""
 
 @query("lp_run_edge", _lp_run_sql("edge"))
 def lp_run_edge(spark, d):
-    return lp.run(_pairs(spark, d), lp.Settings(k=K, mode="edge"))[0]
+    return lp.run(_raw(spark, d), lp.Settings(k=K, mode="edge"))[0]
 
 
 @query("lp_run_vertex", _lp_run_sql("vertex"))
 def lp_run_vertex(spark, d):
-    return lp.run(_pairs(spark, d), lp.Settings(k=K, mode="vertex"))[0]
+    return lp.run(_raw(spark, d), lp.Settings(k=K, mode="vertex"))[0]
 
 
 # -- quality -------------------------------------------------------------------------------
