@@ -41,14 +41,25 @@ def test_labels_are_those_of_the_plans(spark, edges, monkeypatch, mode, tie, wei
     same(got, lp.run(Graph.of(edges, weight=weight), s))
 
 
-@pytest.mark.parametrize("name, most", [("MOST", 119), ("OWNED", 20)])
-def test_larger_graphs_are_left_to_the_plans(spark, edges, monkeypatch, name, most):
-    s = lp.Settings(k=3, max_iterations=3)
-    small = lp.run(Graph.of_raw(edges), s)
+def test_lists_hold_the_graph(spark, edges, monkeypatch):
+    monkeypatch.setattr(packed, "CHUNK", 50)
+    monkeypatch.setattr(packed, "ROW", 40)
+    table, small = packed.lists(edges)
+    one, two = Graph.of(edges, weight=3), packed.graph(table, 3)
+    assert small and table.count() > 4
+    for a, b in ((one.V.select("id", "out_deg", "sym_deg"), two.V), (one.A, two.A), (one.E, two.E)):
+        assert a.columns == b.columns and a.dtypes == b.dtypes and sorted(a.collect()) == sorted(b.collect())
+
+
+@pytest.mark.parametrize("name, most, mode", [("MOST", 119, "edge"), ("MOST", 119, "vertex"), ("OWNED", 20, "edge")])
+def test_larger_graphs_are_left_to_the_plans(spark, edges, monkeypatch, name, most, mode):
+    s = lp.Settings(k=3, mode=mode, max_iterations=3)
+    small = lp.run(Graph.of_raw(edges, 2), s)
     monkeypatch.setattr(packed, "run", None)
+    monkeypatch.setattr(packed, "graph", packed.graph if name == "MOST" else None)
     monkeypatch.setattr(packed, "CHUNK", 5)
     monkeypatch.setattr(packed, name, most)
-    same(small, lp.run(Graph.of_raw(edges), s))
+    same(small, lp.run(Graph.of_raw(edges, 2), s))
 
 
 def test_far_ids_and_no_edges(spark):

@@ -278,14 +278,14 @@ def told_of(step: int, score: float, moved: int, l: Loads, s: Settings) -> dict:
 def run(g: Graph, s: Settings, labels: DataFrame | None = None, on_step=None) -> tuple[DataFrame, list[dict]]:
     """(labels, history). labels: optional (id, part) to start from, null parts allowed; without it
     classic starts at random, the other modes from hubs. on_step(step, metrics) may return True to stop.
-    A graph of Graph.of_raw() is packed where packed.lists() can hold it, with the same labels."""
+    A graph of Graph.of_raw() is packed; run from there where packed.lists() says so, with the same labels."""
     if s.mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}")
     if g.raw is not None:
-        table = packed.lists(g.raw) if labels is None and s.k <= packed.MOST_K else None
-        if table is not None:
+        table, small = packed.lists(g.raw)
+        if small and labels is None and s.k <= packed.MOST_K:
             return packed.run(table, g.weight, s, on_step)
-        g = Graph.of_pairs(cut(pairs(g.raw), "pairs"), g.weight)
+        g = packed.graph(table, g.weight) if table is not None else Graph.of_pairs(cut(pairs(g.raw), "pairs"), g.weight)
     g = Graph(cut(g.V.select("id", "out_deg", "sym_deg"), "vertices"), g.A, g.E)
     v = g.V
     if labels is not None:

@@ -4,7 +4,8 @@ The edges are dealt once, both directions, to the owner of their first end, dedu
 binary lists. The driver keeps ids, degrees and a label for each vertex. A step sends a byte for each vertex to all tasks
 (its label, and whether it moved); they count the labels of whole lists, score, and return those that would move, each with
 its number for the gate; the driver lets them move. Numbers and choices are those of lp, to the bit.
-Graphs with more vertices, or more edges at one owner than OWNED, are left to the plans of lp.
+Graphs with more vertices are left to the plans of lp, over the same lists; those with more edges at one owner than OWNED,
+as where a vertex has millions of neighbours, to plans over their edges as they came.
 """
 
 from __future__ import annotations
@@ -18,8 +19,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.loops import cut, drop
+from ..graph import Graph
 
-MOST = 4_000_000  # vertices; the driver holds 20 bytes for each
+MOST = 2_000_000  # vertices; the driver holds 20 bytes for each, and some more for a step
 MOST_K = 127  # labels in a byte, with a bit for those that moved
 OWNED = 8_000_000  # directed edges of one owner, 16 bytes each as they are sorted
 CHUNK = 1_000_000  # edges dealt together
@@ -145,17 +147,42 @@ def _own(most: int):
     return run
 
 
-def lists(edges: DataFrame) -> DataFrame | None:
-    """Written rows of LISTS, whole lists of several vertices each; None where the graph is too large for them, or empty."""
+def lists(edges: DataFrame) -> tuple[DataFrame | None, bool]:
+    """Written rows of LISTS, whole lists of several vertices each, and whether run() may take them; no rows where an owner
+    would hold too many edges, or there are none."""
     spark = edges.sparkSession
     owners = int(spark.conf.get("spark.sql.shuffle.partitions"))
     e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst")).where("src is not null and dst is not null")
     out = cut(e.mapInArrow(_deal(owners), DEALT).repartitionById(owners, F.col("owner")).mapInArrow(_own(OWNED), LISTS), "lists")
     n, over = out.agg(F.sum("vertices"), F.max("over")).first()
-    if n and n <= MOST and not over:
-        return out
+    if n and not over:
+        return out, n <= MOST
     drop(out)
-    return None
+    return None, False
+
+
+def _vertices(batches):
+    for ids, n, outs in _rows(batches):
+        n = np.frombuffer(n, np.int32)
+        yield _batch("id long, out_deg long, sym_deg long", np.frombuffer(ids, np.int64), np.frombuffer(outs, np.int32), n)
+
+
+def _edges(batches):
+    for ids, n, base, dst, real in _rows(batches):
+        n = np.frombuffer(n, np.int32)
+        src = np.repeat(np.frombuffer(ids, np.int64), n)
+        dst, real = _wide(base, dst, len(src)), np.unpackbits(np.frombuffer(real, np.uint8), count=len(src)).astype(bool)
+        for i in range(0, len(src), 1 << 16):
+            at = slice(i, i + (1 << 16))
+            yield _batch("src long, dst long, real boolean", src[at], dst[at], real[at])
+
+
+def graph(table: DataFrame, weight: int) -> Graph:
+    """The vertices (id, out_deg, sym_deg) and edges of lists(), for the plans."""
+    v = table.select("ids", "n", "outs").mapInArrow(_vertices, "id long, out_deg long, sym_deg long")
+    e = table.select("ids", "n", "base", "dst", "real").mapInArrow(_edges, "src long, dst long, real boolean")
+    a = e.select("src", "dst", (~F.col("real")).alias("is_virtual"), F.when(F.col("real"), weight).otherwise(1).cast("int").alias("weight"))
+    return Graph(v, a, e.where("real").select("src", "dst"))
 
 
 LINKED = "id binary, at binary, n binary, outs binary, nbr binary, real binary"
