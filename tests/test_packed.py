@@ -1,6 +1,10 @@
 """Label propagation over packed lists: the labels of the plans, one job a step."""
 
+import os
 import random
+import subprocess
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -89,3 +93,17 @@ def test_numbers_are_those_of_spark(spark):
     ids = [0, 1, -5, 2**62, -(2**63)] + list(range(100, 200))
     want = [v.u for v in spark.createDataFrame([(i,) for i in ids], "id long").select(uniform(3, 8).alias("u")).collect()]
     assert (packed.draws(3, 8, np.array(ids)) / 2**32).tolist() == want
+
+
+def test_workers_need_not_find_the_package(tmp_path):
+    """As where only the driver has it on its path."""
+    code = """import sys
+sys.path.insert(0, sys.argv[1])
+from pyspark.sql import SparkSession
+import __spark_entry__
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+print("rows", __spark_entry__.queries()["lp_run_edge"](spark, "/root/testdata/sf0.001").count())
+"""
+    env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
+    got = subprocess.run([sys.executable, "-c", code, str(Path(__file__).resolve().parents[1])], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=200)
+    assert "rows 200" in got.stdout, got.stderr[-2000:]

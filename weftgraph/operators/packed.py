@@ -11,16 +11,20 @@ as where a vertex has millions of neighbours, to plans over their edges as they
 from __future__ import annotations
 
 import hashlib
+import sys
+from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
+from pyspark import StorageLevel, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.loops import cut, drop
 from ..graph import Graph
 
+cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers need not find this package, as with plans
+
 MOST = 2_000_000  # vertices; the driver holds 20 bytes for each, and some more for a step
 MOST_K = 127  # labels in a byte, with a bit for those that moved
 OWNED = 8_000_000  # directed edges of one owner, 16 bytes each as they are sorted
@@ -224,6 +228,7 @@ ASKS = "at binary, best binary, draw binary, score double"
 
 def _step(codes, pf: list[float], s, weight: int, step: int, gate: bool):
     """Those that would move, with their label and their number for the gate, and the sum of the scores."""
+    s = SimpleNamespace(**vars(s))
     k, lam, kappa = s.k, float(s.lam), float(s.kappa)
 
     def run(batches):
